@@ -115,7 +115,7 @@ def _lcp_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     key = (p4[: n] << 27) | (p2[4 : 4 + n] << 9) | s[6 : 6 + n]
     k = 7
     while True:
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)  # ties may stand in any order
         sorted_key = key[sa]
         step = np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
         if k >= depth or step.sum() == n - 1:
@@ -126,8 +126,8 @@ def _lcp_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
         shifted[:-k or None] = rank[k:] if k < n else 0
         key = rank * (n + 2) + shifted
         k *= 2
-    inverse = np.empty(n + 1, np.int64)
-    inverse[sa] = np.arange(n)
+    inverse = np.empty(n + 1, np.int32)
+    inverse[sa] = np.arange(n, dtype=np.int32)
     inverse[n] = n  # the empty suffix
     mapped = inverse[sa + 1]
     first = symbols[sa]
@@ -137,7 +137,7 @@ def _lcp_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     for _ in range(1, depth):
         if not len(open_):
             break
-        group = np.cumsum(parted)
+        group = np.cumsum(parted, dtype=np.int32)
         new = group[mapped[open_ - 1]] != group[mapped[open_]]
         if not new.any():
             break
@@ -232,6 +232,15 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
         use, row, start = (np.concatenate(x).astype(np.int64) for x in (uses, rows, starts))
         use_at = np.concatenate([[0], np.cumsum(use)])
         text = np.concatenate(C.blobs(table["data"], np.uint8))
+        # copies have their runs in common: each content stands in the transform once, for the smallest document
+        limit = np.cumsum(length)
+        hashed = C.span_hash(C.prefix_hash(text), limit - length, limit)
+        _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
+        all_docs = doc
+        doc = np.full(len(one), C.LAST)
+        np.minimum.at(doc, same, all_docs)
+        text = text[_ranges((limit - length)[one], length[one])]
+        length = length[one]
         # one separator (0) after each run; bytes become 1 to 256
         end = np.cumsum(length + 1)
         begin = end - length - 1
@@ -250,7 +259,14 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
         head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (b[1:] != b[:-1])])) if len(pos) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(pos)))
         own, b, off = own[head], b[head], pos[head] - begin[own[head]]
-        useful = (b < doc[own]) | (use[own] > 1)
+        # back to what each chunk sent: its runs' contents with their pieces
+        sent = np.argsort(same, kind="stable")
+        copies = np.bincount(same, minlength=len(one))
+        first = np.concatenate([[0], np.cumsum(copies)[:-1]])
+        src = np.repeat(np.arange(len(own)), copies[own])
+        own = sent[_ranges(first[own], copies[own])]
+        b, off, size = b[src], off[src], size[src]
+        useful = (b < all_docs[own]) | (use[own] > 1)
         own, b, off, size = own[useful], b[useful], off[useful], size[useful]
         each = _ranges(use_at[own], use[own])
         src = np.repeat(np.arange(len(own)), use[own])
