@@ -20,7 +20,7 @@ def connect(sf_dir: str):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{round(v, 6):.10g}")
+        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, bytearray):
