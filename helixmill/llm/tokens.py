@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 1_500_000
 _TRAIL = b".,;:!?%$#*&|"
 _STATE: dict[str, tuple] = {}
 
