@@ -126,7 +126,9 @@ def learn(pages: DataFrame, train_pages: int = 2000, features: int = 4096, id_co
     import math
 
     some = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("html"), F.xxhash64(id_col).alias("o"))
-    some = some.orderBy("o").limit(train_pages).select("html")
+    # the hash below which train_pages pages lie, from hashes alone; then one filtered scan
+    cut = some.select("o").orderBy("o").limit(train_pages).agg(F.max("o")).first()[0]
+    some = some.where(F.col("o") <= F.lit(cut).cast("long")).select("html")
     got = some.mapInArrow(_features, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     got = got.orderBy((F.col("i") + F.col("o")).desc(), "feature").limit(features).collect()
     weights = {}
