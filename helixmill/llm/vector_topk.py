@@ -120,7 +120,7 @@ def top_k(
                         kth[r] = best_s[r][-1] if exact else -np.inf
         n = [len(x) for x in best_i]
         scores = np.concatenate(best_s)
-        return pa.table({"query_id": pa.array(np.repeat(qid, n)), "vec_id": pa.array(np.concatenate(best_i)), "score": pa.array([int(x) for x in scores], pa.int64())})
+        return pa.table({"query_id": pa.array(np.repeat(qid, n)), "vec_id": pa.array(np.concatenate(best_i)), "score": pa.array([max(-(2**63), min(int(x), 2**63 - 1)) for x in scores], pa.int64())})
 
     hits = q.groupBy("q", "g").cogroup(c.groupBy("q", "g")).applyInArrow(search, HITS)
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
