@@ -3,7 +3,8 @@
 * ``materialize`` cuts lineage with a Parquet table in the cluster's shared folder.
 * ``chunked`` deals documents out by a hash of the row, so no source, id or copy group is hot.
 * ``shared_keys`` finds, for every chunk, those of its 64-bit keys that other rows have as well.
-  Keys travel as sorted numpy blobs (about four bytes a key) instead of rows.
+  Keys travel as sorted numpy blobs (about four bytes a key) instead of rows, one blob for each chunk
+  and bucket: at most ``4 x shuffle partitions squared``, so chunks and buckets are kept few and long.
 * ``link_components`` turns candidate lists into connected groups without all pairs of a list.
 """
 
@@ -29,6 +30,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def chunk_count(spark: SparkSession) -> int:
+    """Two chunks a shuffle partition: even enough when hashed to partitions, and half of one in memory."""
+    return 2 * shuffle_width(spark)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only in local mode, where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,11 +68,11 @@ def row_key(*columns: str) -> Column:
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, rid, doc_id, text), dealt to ``4 x shuffle partitions`` chunks by row hash."""
+    """(chunk, rid, doc_id, text), dealt to ``chunk_count`` chunks by row hash."""
     n = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(row_key("doc_id", "text").alias("rid"), "doc_id", "text")
-    return rows.withColumn("chunk", F.pmod("rid", F.lit(4 * n)).cast("int")).repartition(n, "chunk")
+    return rows.withColumn("chunk", F.pmod("rid", F.lit(chunk_count(docs.sparkSession))).cast("int")).repartition(n, "chunk")
 
 
 # ------------------------------------------------------------------ bytes
@@ -219,8 +225,8 @@ KEYS_SCHEMA = "bucket int, chunk int, keys binary, counts binary"
 
 
 def bucket_bits(spark: SparkSession) -> int:
-    """As many key buckets as a power of two at or above four times the shuffle width."""
-    return max(4, math.ceil(math.log2(4 * shuffle_width(spark))))
+    """As many key buckets as a power of two at or above the shuffle width."""
+    return max(4, math.ceil(math.log2(shuffle_width(spark))))
 
 
 def truncate(keys: np.ndarray, bits: int) -> np.ndarray:

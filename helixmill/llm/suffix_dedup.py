@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
     """(chunk, rid, doc_id, text, spans): spans are the maximal (start, end) byte runs to remove."""
     spark = docs.sparkSession
     bits, window = C.bucket_bits(spark), min_bytes
-    parts = 8 * C.shuffle_width(spark)
+    parts = 2 * C.shuffle_width(spark)
     x = C.chunked(docs, id_col, text_col)
 
     def announce(table: pa.Table) -> pa.Table:
