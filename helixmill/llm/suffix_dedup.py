@@ -30,7 +30,9 @@ from helixmill.llm import common as C
 
 U64 = np.uint64
 MINIMIZER = 24
-SEGMENTS = "part int, chunk int, lens binary, docs binary, uses binary, rows binary, starts binary, data binary"
+#: bytes that a part transforms at a time; classes of minimizers by which it divides its runs
+SHARE, CLASSES = 1 << 19, 256
+SEGMENTS = "part int, chunk int, lens binary, classes binary, docs binary, uses binary, rows binary, starts binary, data binary"
 ANSWERS = "chunk int, rows binary, starts binary, lens binary, docs binary"
 
 
@@ -146,6 +148,44 @@ def _lcp_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return sa, parted[:n]
 
 
+def _smallest(text: np.ndarray, length: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, smallest document, offset, windows) of the stretches of windows that have one smallest document.
+
+    ``text``: all runs end to end. Copies have their runs in common: each content stands in the
+    transform once, for its smallest document.
+    """
+    limit = np.cumsum(length)
+    hashed = C.span_hash(C.prefix_hash(text), limit - length, limit)
+    _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
+    least = np.full(len(one), C.LAST)
+    np.minimum.at(least, same, doc)
+    text = text[_ranges((limit - length)[one], length[one])]
+    length = length[one]
+    # one separator (0) after each run; bytes become 1 to 256
+    end = np.cumsum(length + 1)
+    begin = end - length - 1
+    symbols = np.zeros(int(end[-1]), np.int16)
+    symbols[_ranges(begin, length)] = text.astype(np.int16) + 1
+    sa, parted = _lcp_groups(symbols, window)
+    owner = np.repeat(np.arange(len(length)), length + 1)
+    whole = (end - 1)[owner] - np.arange(len(symbols)) >= window
+    value = np.where(whole, least[owner], C.LAST)[sa]
+    at = np.flatnonzero(parted)
+    best = np.empty(len(symbols), np.int64)
+    best[sa] = np.repeat(np.minimum.reduceat(value, at), np.diff(np.append(at, len(sa))))
+    pos = np.flatnonzero(whole)
+    own, b = owner[pos], best[pos]
+    head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (b[1:] != b[:-1])])) if len(pos) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(pos)))
+    own, b, off = own[head], b[head], pos[head] - begin[own[head]]
+    # back to the runs as they came
+    sent = np.argsort(same, kind="stable")
+    copies = np.bincount(same, minlength=len(one))
+    first = np.concatenate([[0], np.cumsum(copies)[:-1]])
+    src = np.repeat(np.arange(len(own)), copies[own])
+    return sent[_ranges(first[own], copies[own])], b[src], off[src], size[src]
+
+
 def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(chunk, rid, doc_id, text, spans): spans are the maximal (start, end) byte runs to remove."""
     spark = docs.sparkSession
@@ -215,6 +255,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
             out["part"].append(int(part_of[members[0]]))
             out["chunk"].append(chunk)
             out["lens"].append(_blob(lens, np.uint32))
+            out["classes"].append(_blob(key[fresh[members]] // U64(parts) % U64(CLASSES), np.uint8))
             out["docs"].append(_blob(smallest[members], np.int64))
             out["uses"].append(_blob(uses[members], np.uint32))
             out["rows"].append(_blob(row[use], np.uint32))
@@ -232,42 +273,19 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
         use, row, start = (np.concatenate(x).astype(np.int64) for x in (uses, rows, starts))
         use_at = np.concatenate([[0], np.cumsum(use)])
         text = np.concatenate(C.blobs(table["data"], np.uint8))
-        # copies have their runs in common: each content stands in the transform once, for the smallest document
         limit = np.cumsum(length)
-        hashed = C.span_hash(C.prefix_hash(text), limit - length, limit)
-        _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
-        all_docs = doc
-        doc = np.full(len(one), C.LAST)
-        np.minimum.at(doc, same, all_docs)
-        text = text[_ranges((limit - length)[one], length[one])]
-        length = length[one]
-        # one separator (0) after each run; bytes become 1 to 256
-        end = np.cumsum(length + 1)
-        begin = end - length - 1
-        symbols = np.zeros(int(end[-1]), np.int16)
-        symbols[_ranges(begin, length)] = text.astype(np.int16) + 1
-        sa, parted = _lcp_groups(symbols, window)
-        owner = np.repeat(np.arange(len(length)), length + 1)
-        whole = (end - 1)[owner] - np.arange(len(symbols)) >= window
-        value = np.where(whole, doc[owner], C.LAST)[sa]
-        at = np.flatnonzero(parted)
-        best = np.empty(len(symbols), np.int64)
-        best[sa] = np.repeat(np.minimum.reduceat(value, at), np.diff(np.append(at, len(sa))))
-        # runs of windows of one segment with one smallest document
-        pos = np.flatnonzero(whole)
-        own, b = owner[pos], best[pos]
-        head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (b[1:] != b[:-1])])) if len(pos) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(pos)))
-        own, b, off = own[head], b[head], pos[head] - begin[own[head]]
-        # back to what each chunk sent: its runs' contents with their pieces
-        sent = np.argsort(same, kind="stable")
-        copies = np.bincount(same, minlength=len(one))
-        first = np.concatenate([[0], np.cumsum(copies)[:-1]])
-        src = np.repeat(np.arange(len(own)), copies[own])
-        own = sent[_ranges(first[own], copies[own])]
-        b, off, size = b[src], off[src], size[src]
-        useful = (b < all_docs[own]) | (use[own] > 1)
-        own, b, off, size = own[useful], b[useful], off[useful], size[useful]
+        kind = np.concatenate(C.blobs(table["classes"], np.uint8)).astype(np.int64)
+        # runs of one minimizer are of one class; a few classes at a time keep the transform small
+        shares = min(CLASSES, -(-len(text) // SHARE))
+        share = kind * shares // CLASSES
+        by_share = np.argsort(share, kind="stable")
+        pieces = []
+        for members in np.split(by_share, np.flatnonzero(np.diff(share[by_share])) + 1):
+            size = length[members]
+            own, b, off, wins = _smallest(text[_ranges(limit[members] - size, size)], size, doc[members], window)
+            useful = (b < doc[members[own]]) | (use[members[own]] > 1)
+            pieces.append((members[own[useful]], b[useful], off[useful], wins[useful]))
+        own, b, off, size = (np.concatenate(x) for x in zip(*pieces))
         each = _ranges(use_at[own], use[own])
         src = np.repeat(np.arange(len(own)), use[own])
         to = np.repeat(chunk, per_row)[own][src]
