@@ -340,7 +340,18 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
     )
 
 
-def link_components(entries: DataFrame, admissible, verify, name: str, links: DataFrame | None = None) -> DataFrame:
+def _with_heads(entries: DataFrame) -> DataFrame:
+    """(a, b): every entry with one first node of its keys and classes."""
+    # cached or written tables stand on both sides of joins by key, so that adaptive execution may split a frequent key
+    head = entries.groupBy("key", "class").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    head = head.drop("n").persist()
+    first = entries.join(head, ["key", "class"]).where("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
+    # the most frequent head of a node is its best bet; the rest is left to round two
+    first = first.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
+    return first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def link_components(entries: DataFrame, admissible, verify, name: str, links: DataFrame | None = None, likely: DataFrame | None = None) -> DataFrame:
     """Groups of nodes under verified links, without all pairs of a candidate list.
 
     ``entries``: (key, node, class, ...) where linked nodes share at least one key; nodes of one
@@ -352,18 +363,12 @@ def link_components(entries: DataFrame, admissible, verify, name: str, links: Da
 
     ``admissible(l, r)``: a Column over two entries (aliases ``l`` and ``r``) that holds for every
     true link in at least one common key. ``verify(pairs)``: keeps true links of (a, b).
-    ``links``: known links (a, b) to be counted in. Returns (node, component).
+    ``links``: known links (a, b) to be counted in. ``likely``: pairs (a, b) that round one tries
+    instead of those with a head. Returns (node, component).
     """
     known = links
-    # cached or written tables stand on both sides of joins by key, so that adaptive execution may split a frequent key
-    head = entries.groupBy("key", "class").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    head = head.drop("n").persist()
-    first = entries.join(head, ["key", "class"]).where("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
-    # the most frequent head of a node is its best bet; the rest is left to round two
-    first = first.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    pairs = first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    pairs = likely if likely is not None else _with_heads(entries)
     links = materialize(verify(pairs), f"{name}-links1").select("a", "b")
-    head.unpersist()
     groups = connected_components(links, f"{name}-cc1")
 
     e = entries.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
