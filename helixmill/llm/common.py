@@ -340,15 +340,15 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
     )
 
 
-def _with_heads(entries: DataFrame) -> DataFrame:
-    """(a, b): every entry with one first node of its keys and classes."""
+def _with_heads(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of every entry with one first node of its keys and classes; the cached heads, to be let go of."""
     # cached or written tables stand on both sides of joins by key, so that adaptive execution may split a frequent key
     head = entries.groupBy("key", "class").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     head = head.drop("n").persist()
     first = entries.join(head, ["key", "class"]).where("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
     # the most frequent head of a node is its best bet; the rest is left to round two
     first = first.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    return first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    return first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), head
 
 
 def link_components(entries: DataFrame, admissible, verify, name: str, links: DataFrame | None = None, likely: DataFrame | None = None) -> DataFrame:
@@ -356,7 +356,7 @@ def link_components(entries: DataFrame, admissible, verify, name: str, links: Da
 
     ``entries``: (key, node, class, ...) where linked nodes share at least one key; nodes of one
     class and key are probable partners. Round one compares every entry with the first node of its
-    key and class only. Round two compares, within a key, just those entries that round one left
+    key and class only, or tries ``likely``. Round two compares, within a key, just those entries that round one left
     in different groups, each against all entries outside its group; entries of the key's largest
     group are only ever compared with the others. So every link between different groups is found,
     and links inside a group are implied.
@@ -367,8 +367,10 @@ def link_components(entries: DataFrame, admissible, verify, name: str, links: Da
     instead of those with a head. Returns (node, component).
     """
     known = links
-    pairs = likely if likely is not None else _with_heads(entries)
+    pairs, head = (likely, None) if likely is not None else _with_heads(entries)
     links = materialize(verify(pairs), f"{name}-links1").select("a", "b")
+    if head is not None:
+        head.unpersist()
     groups = connected_components(links, f"{name}-cc1")
 
     e = entries.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
