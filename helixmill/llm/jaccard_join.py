@@ -43,7 +43,10 @@ def _sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _equal_sets(row: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row its size, and the row that stands for its set: that of the smallest document with it."""
+    """Per row its size, and the row that stands for its set: that of the smallest document with it.
+
+    A row without shingles stands for itself alone.
+    """
     n = len(doc)
     size = np.bincount(row, minlength=n).astype(np.int64)
     total, other = np.zeros(n, U64), np.zeros(n, U64)
@@ -54,6 +57,7 @@ def _equal_sets(row: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     order = np.lexsort((doc, other, total, size))
     head = np.ones(n, bool)
     head[1:] = (np.diff(size[order]) != 0) | (total[order][1:] != total[order][:-1]) | (other[order][1:] != other[order][:-1])
+    head |= size[order] == 0
     rep = np.empty(n, np.int64)
     rep[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1] if n else order
     return size, rep
