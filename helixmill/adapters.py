@@ -68,10 +68,10 @@ join (select c_mktsegment, c_nationkey, avg(c_acctbal) as v from {customer} grou
 """,
     "scores": """
 select item_id, pass, pos, token_id, cast(doc_val as double) / 100 as score
-from (select e.event_id % 50 as item_id, cast(p.r_regionkey as int) as pass, cast(t.n_nationkey % 5 as int) as pos,
+from (select e.event_id as item_id, cast(p.r_regionkey as int) as pass, cast(t.n_nationkey % 5 as int) as pos,
         cast(floor(t.n_nationkey / 5) as int) as token_id,
         (e.user_id * 31 + p.r_regionkey * 17 + t.n_nationkey * 13 + e.event_id * 7) % 701 as doc_val
-      from {events} e cross join {region} p cross join {nation} t where e.event_id < 50 and p.r_regionkey < 4) s
+      from {events} e cross join {region} p cross join {nation} t where p.r_regionkey < 4) s
 """,
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
