@@ -19,14 +19,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from, per_class
     """(doc_id, text, y): of each class the ``per_class`` rows with the smallest hash of their id.
 
     ``learn_from``: Column over ``labels`` that admits a row. At most ``2 * per_class`` ids, a fixed
-    bound, are joined with the documents and come to the driver.
+    bound, are joined with the documents; of each, one text (that of the smallest row hash) comes to
+    the driver.
     """
     rows = labels.where(learn_from).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     rows = rows.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = rows.withColumn("o", F.xxhash64("doc_id"))
     some = rows.where("y = 0").orderBy("o", "doc_id").limit(per_class).unionByName(rows.where("y = 1").orderBy("o", "doc_id").limit(per_class))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(some.drop("o")), "doc_id").toPandas()
+    chosen = texts.join(F.broadcast(some.drop("o")), "doc_id")
+    got = chosen.groupBy("doc_id", "y").agg(F.min_by("text", C.row_key("doc_id", "text")).alias("text")).select("doc_id", "text", "y").toPandas()
     got["text"] = got["text"].fillna("")
     return got.sort_values(["doc_id", "text"], ignore_index=True)
 
