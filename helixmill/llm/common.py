@@ -62,9 +62,22 @@ def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """64-bit key of a row; rows equal in these columns share it."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
+    return F.xxhash64(*[F.coalesce(named(c).cast("string"), F.lit("\0null")) for c in columns])
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

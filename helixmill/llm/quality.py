@@ -3,7 +3,7 @@
 A text's features are hashed counts of its words, of its words' shapes (runs of lower case, upper
 case, digits and each other sign), and of repetition (a word like the one before it, five words that
 stood in the text already). Document frequencies cover all documents. A truncated SVD of the tf-idf
-matrix of a bounded, class-balanced sample of labelled rows gives the latent space; its vectors are
+matrix of a bounded, class-balanced sample of labelled rows (``max_bytes`` each at most) gives the latent space; its vectors are
 broadcast (``2 * per_class`` rows of ``rank`` numbers, whatever the data). Every document is
 compared with all of them by exact cosine, block by block, and the ``k`` nearest vote with weights
 that grow with their similarity.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm import common as C
-from helixmill.llm.labelled import joined, remainder, sample, score_batches
+from helixmill.llm.labelled import held_out, sample, score_batches
 
 U64 = np.uint64
 SHAPES, WORDS = 2048, 1024
@@ -62,12 +62,18 @@ def _counts(data: np.ndarray, offsets: np.ndarray):
     return key // DIM, key % DIM, count, words
 
 
-def _vectors(data, offsets, idf) -> np.ndarray:
-    """Dense rows of weighted features; words count less than shapes and repetition."""
+def _weights(data, offsets, idf):
+    """(row, feature, weight), sorted; words count less than shapes and repetition."""
     row, feature, count, words = _counts(data, offsets)
-    x = np.zeros((len(offsets) - 1, DIM), np.float32)
     weight = np.where((feature >= SHAPES) & (feature < SHAPES + WORDS), 0.25, 1.0) * idf[feature]
-    x[row, feature] = np.sqrt(count / words[row]) * weight
+    return row, feature, np.sqrt(count / words[row]) * weight
+
+
+def _vectors(data, offsets, idf) -> np.ndarray:
+    """Dense rows of weighted features."""
+    row, feature, weight = _weights(data, offsets, idf)
+    x = np.zeros((len(offsets) - 1, DIM), np.float32)
+    x[row, feature] = weight
     return x
 
 
@@ -119,13 +125,28 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from, per_class: int = 1500, rank: int = 48, k: int = 25) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn_from, per_class: int = 1500, rank: int = 48, k: int = 25, max_bytes: int = 1 << 16) -> Model:
     df, n = document_frequencies(docs)
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
-    data = sample(docs, labels, "quality", learn_from, per_class)
-    if not len(data):
+
+    def describe(batches):
+        for b in batches:
+            data, offsets = C.text_bytes(b.column("text"))
+            at, weight = [], []
+            for i, j in C.slices(offsets):
+                row, feature, w = _weights(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], idf)
+                begin = np.searchsorted(row, np.arange(j - i + 1))
+                at += [feature[x:z].astype(np.uint16).tobytes() for x, z in zip(begin, begin[1:])]
+                weight += [w[x:z].astype(np.float32).tobytes() for x, z in zip(begin, begin[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], names=["doc_id", "y", "at", "weight"])
+
+    got = sample(docs, labels, "quality", learn_from, per_class, max_bytes).mapInArrow(describe, "doc_id long, y int, at binary, weight binary").toArrow().sort_by("doc_id")
+    y = C.ints(got["y"], np.int64)
+    if not len(y):
         return Model(idf, np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
-    x = np.concatenate([_vectors(*joined(data["text"][i : i + 500]), idf) for i in range(0, len(data), 500)])
+    x = np.zeros((len(y), DIM), np.float32)
+    for i, (at, weight) in enumerate(zip(C.blobs(got["at"], np.uint16), C.blobs(got["weight"], np.float32))):
+        x[i, at] = weight
     rank = min(rank, len(x), DIM)
     q = x @ np.random.default_rng(1).normal(size=(DIM, rank + 8)).astype(np.float32)
     for _ in range(3):  # randomized SVD by subspace iteration
@@ -133,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, per_class: int = 1500,
         q = x @ (x.T @ q)
     q, _ = np.linalg.qr(q)
     space = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-    model = Model(idf, space, None, data["y"].to_numpy(), k)
+    model = Model(idf, space, None, y, k)
     model.near = model.project(x)
     return model
 
@@ -153,6 +174,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: quality of every document; labels of rows with crc32(doc_id) mod 5 = 0 are held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    model = train(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    model = train(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
     out = scored(docs, model)
-    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
