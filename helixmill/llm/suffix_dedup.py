@@ -5,14 +5,14 @@ smallest hash of a 24-byte string inside). Equal windows have equal minimizers,
 out by minimizer brings all equal windows together, wherever they stand.
 
 1. ``shared_keys`` leaves only minimizers that two documents have; all other runs can't match.
-2. Each chunk sends its distinct runs (contents, not occurrences) to the part of their minimizer.
-   A minimizer with more than ``hot`` distinct runs is split: its windows go out one by one, by
-   their own content. No part ever holds an unbounded group.
+2. Each chunk sends its distinct runs (contents with their smallest document, never occurrences) to
+   the part of their minimizer. A minimizer with more than ``hot`` distinct runs is split: its
+   windows go out one by one, by their own content. No part ever holds an unbounded group.
 3. A part sorts its suffixes to the threshold's depth, and from the Burrows-Wheeler transform
    extends intervals backwards, breadth first: level l finds just those common prefixes that are
    l bytes long, from those of level l - 1. It stops at the threshold; suffixes not parted by then
    share 50 bytes. Per group of such suffixes, the smallest document counts.
-4. Chunks get the answers for their occurrences and cut the bytes.
+4. Chunks get an answer for each content, look it up for their own occurrences and cut the bytes.
 
 Rows: a null text is empty; a null doc_id is larger than any other; rows with the same doc_id
 don't match each other; identical rows get identical results; other columns are ignored; an empty
@@ -32,8 +32,11 @@ U64 = np.uint64
 MINIMIZER = 24
 #: bytes that a part transforms at a time; classes of minimizers by which it divides its runs
 SHARE, CLASSES = 1 << 19, 256
-SEGMENTS = "part int, chunk int, lens binary, classes binary, docs binary, uses binary, rows binary, starts binary, data binary"
-ANSWERS = "chunk int, rows binary, starts binary, lens binary, docs binary"
+#: bytes of a chunk whose windows are hashed at a time
+SLICE = 1 << 19
+#: hot: the minimizers of split windows; several: whether documents of the chunk differ
+SEGMENTS = "part int, chunk int, lens binary, classes binary, docs binary, several binary, data binary, hot binary"
+ANSWERS = "chunk int, contents binary, offsets binary, lens binary, docs binary, hot binary"
 
 
 def _minimizers(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +84,7 @@ def _by_rid(table: pa.Table) -> pa.Table:
 def _runs(data, offsets, window):
     """All runs of a chunk, with their contents' hash; starts count from the chunk's first byte."""
     got = []
-    for i, j in C.slices(offsets):
+    for i, j in C.slices(offsets, SLICE):
         lo = offsets[i]
         part = data[lo : offsets[j]]
         s, w, k, r = _minimizers(part, offsets[i : j + 1] - lo, window)
@@ -148,8 +151,8 @@ def _lcp_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return sa, parted[:n]
 
 
-def _smallest(text: np.ndarray, length: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(run, smallest document, offset, windows) of the stretches of windows that have one smallest document.
+def _smallest(text: np.ndarray, length: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(run, content, smallest document, offset, windows) of the stretches of windows that have one smallest document.
 
     ``text``: all runs end to end. Copies have their runs in common: each content stands in the
     transform once, for its smallest document.
@@ -183,7 +186,19 @@ def _smallest(text: np.ndarray, length: np.ndarray, doc: np.ndarray, window: int
     copies = np.bincount(same, minlength=len(one))
     first = np.concatenate([[0], np.cumsum(copies)[:-1]])
     src = np.repeat(np.arange(len(own)), copies[own])
-    return sent[_ranges(first[own], copies[own])], b[src], off[src], size[src]
+    return sent[_ranges(first[own], copies[own])], hashed[one][own][src], b[src], off[src], size[src]
+
+
+def _windows_of(data, offsets, start, wins, row, window):
+    """(start, row, hash) of every window of the runs, one by one."""
+    at, owner = _ranges(start, wins), np.repeat(row, wins)
+    h = np.empty(len(at), U64)
+    for i, j in C.slices(offsets, SLICE):
+        lo, hi = np.searchsorted(at, (offsets[i], offsets[j]))
+        if hi > lo:
+            here = at[lo:hi] - offsets[i]
+            h[lo:hi] = C.span_hash(C.prefix_hash(data[offsets[i] : offsets[j]]), here, here + window)
+    return at, owner, h
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,52 +241,44 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
         start, wins, key, row, content, count = (a[keep] for a in (start, wins, key, row, content, count))
         split = count > hot
         if split.any():  # windows of crowded minimizers go out one by one
-            at = _ranges(start[split], wins[split])
-            owner = np.repeat(row[split], wins[split])
-            h = np.empty(len(at), U64)
-            for i, j in C.slices(offsets):
-                lo, hi = np.searchsorted(at, (offsets[i], offsets[j]))
-                here = at[lo:hi] - offsets[i]
-                if hi > lo:
-                    h[lo:hi] = C.span_hash(C.prefix_hash(data[offsets[i] : offsets[j]]), here, here + window)
+            at, owner, h = _windows_of(data, offsets, start[split], wins[split], row[split], window)
             start, row = np.concatenate([start[~split], at]), np.concatenate([row[~split], owner])
+            minimizer = np.concatenate([np.zeros(int((~split).sum()), U64), np.repeat(C.truncate(key[split], bits) + U64(1), wins[split])])
             wins = np.concatenate([wins[~split], np.ones(len(at), np.int64)])
             key, content = np.concatenate([key[~split], C.mix(h)]), np.concatenate([content[~split], h])
+        else:
+            minimizer = np.zeros(len(key), U64)
         if not len(start):
             return empty
         order = np.lexsort((content, key))
-        start, wins, key, row, content = (a[order] for a in (start, wins, key, row, content))
+        start, wins, key, row, content, minimizer = (a[order] for a in (start, wins, key, row, content, minimizer))
         fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
-        uses = np.diff(np.append(fresh, len(key)))
-        smallest = np.minimum.reduceat(doc[row], fresh)
+        smallest, largest = np.minimum.reduceat(doc[row], fresh), np.maximum.reduceat(doc[row], fresh)
         # parts by the key's low bits; the bucket took the high ones
         part_of = (key[fresh] % U64(parts)).astype(np.int64)
         by_part = np.argsort(part_of, kind="stable")
         cut = np.flatnonzero(np.diff(part_of[by_part], prepend=-1))
         out = {n: [] for n in names}
         for members in np.split(by_part, cut[1:]):
-            use = _ranges(fresh[members], uses[members])
             lens = wins[fresh[members]] + window - 1
+            crowded = np.unique(minimizer[fresh[members]])
             out["part"].append(int(part_of[members[0]]))
             out["chunk"].append(chunk)
             out["lens"].append(_blob(lens, np.uint32))
             out["classes"].append(_blob(key[fresh[members]] // U64(parts) % U64(CLASSES), np.uint8))
             out["docs"].append(_blob(smallest[members], np.int64))
-            out["uses"].append(_blob(uses[members], np.uint32))
-            out["rows"].append(_blob(row[use], np.uint32))
-            out["starts"].append(_blob(start[use] - offsets[row[use]], np.uint32))
+            out["several"].append(_blob(smallest[members] < largest[members], np.uint8))
             out["data"].append(data[_ranges(start[fresh[members]], lens)].tobytes())
+            out["hot"].append(_blob(crowded[crowded > 0], U64))
         return pa.table({n: pa.array(v, pa.int32() if n in ("part", "chunk") else pa.binary()) for n, v in out.items()})
 
     def expand(table: pa.Table) -> pa.Table:
         chunk = C.ints(table["chunk"], np.int32)
         lens = C.blobs(table["lens"], np.uint32)
         per_row = [len(x) for x in lens]
-        uses, rows, starts = (C.blobs(table[n], np.uint32) for n in ("uses", "rows", "starts"))
         length = np.concatenate(lens).astype(np.int64)
         doc = np.concatenate(C.blobs(table["docs"], np.int64))
-        use, row, start = (np.concatenate(x).astype(np.int64) for x in (uses, rows, starts))
-        use_at = np.concatenate([[0], np.cumsum(use)])
+        several = np.concatenate(C.blobs(table["several"], np.uint8)) > 0
         text = np.concatenate(C.blobs(table["data"], np.uint8))
         limit = np.cumsum(length)
         kind = np.concatenate(C.blobs(table["classes"], np.uint8)).astype(np.int64)
@@ -282,34 +289,45 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
         pieces = []
         for members in np.split(by_share, np.flatnonzero(np.diff(share[by_share])) + 1):
             size = length[members]
-            own, b, off, wins = _smallest(text[_ranges(limit[members] - size, size)], size, doc[members], window)
-            useful = (b < doc[members[own]]) | (use[members[own]] > 1)
-            pieces.append((members[own[useful]], b[useful], off[useful], wins[useful]))
-        own, b, off, size = (np.concatenate(x) for x in zip(*pieces))
-        each = _ranges(use_at[own], use[own])
-        src = np.repeat(np.arange(len(own)), use[own])
-        to = np.repeat(chunk, per_row)[own][src]
+            own, content, b, off, wins = _smallest(text[_ranges(limit[members] - size, size)], size, doc[members], window)
+            # of use where some document of the chunk with this content is larger than the smallest
+            useful = (b < doc[members[own]]) | several[members[own]]
+            pieces.append((members[own[useful]], content[useful], b[useful], off[useful], wins[useful]))
+        own, content, b, off, size = (np.concatenate(x) for x in zip(*pieces))
+        to = np.repeat(np.arange(len(per_row)), per_row)[own]  # the message, of which each chunk sent one
         order = np.argsort(to, kind="stable")
-        to, each, src = to[order], each[order], src[order]
+        to, content, b, off, size = to[order], content[order], b[order], off[order], size[order]
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         ends = np.append(cut[1:], len(to))
-        columns = {"rows": (row[each], np.uint32), "starts": (start[each] + off[src], np.uint32), "lens": (size[src] + window - 1, np.uint32), "docs": (b[src], np.int64)}
-        return pa.table(
-            {"chunk": pa.array(to[cut], pa.int32())}
-            | {n: pa.array([_blob(v[a:z], t) for a, z in zip(cut, ends)], pa.binary()) for n, (v, t) in columns.items()}
-        )
+        columns = {"contents": (content, U64), "offsets": (off, np.uint32), "lens": (size + window - 1, np.uint32), "docs": (b, np.int64)}
+        out = {"chunk": pa.array(chunk[to[cut]], pa.int32())}
+        out |= {n: pa.array([_blob(v[a:z], t) for a, z in zip(cut, ends)], pa.binary()) for n, (v, t) in columns.items()}
+        out["hot"] = table["hot"].combine_chunks().take(pa.array(to[cut]))
+        return pa.table(out)
 
     def cut_out(group, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _by_rid(table)
         data, offsets = C.text_bytes(table["text"])
         doc = C.ints(table["doc_id"])
         change = np.zeros(len(data) + 1, np.int32)
-        for i in range(answers.num_rows):
-            row, start, size = (np.frombuffer(answers[n][i].as_buffer(), np.uint32).astype(np.int64) for n in ("rows", "starts", "lens"))
-            hit = np.frombuffer(answers["docs"][i].as_buffer(), np.int64) < doc[row]
-            begin = offsets[row[hit]] + start[hit]
+        if answers.num_rows:
+            content, off, size, least = (np.concatenate(C.blobs(answers[n], t)) for n, t in (("contents", U64), ("offsets", np.uint32), ("lens", np.uint32), ("docs", np.int64)))
+            order = np.argsort(content, kind="stable")
+            content, off, size, least = content[order], off[order].astype(np.int64), size[order].astype(np.int64), least[order]
+            start, wins, key, row, own = _runs(data, offsets, window)
+            hot_keys = np.unique(np.concatenate(C.blobs(answers["hot"], U64)))
+            split = np.isin(C.truncate(key, bits) + U64(1), hot_keys)
+            if split.any():
+                at, owner, h = _windows_of(data, offsets, start[split], wins[split], row[split], window)
+                start, row, own = (np.concatenate(x) for x in ((start[~split], at), (row[~split], owner), (own[~split], h)))
+            # a content has several answers where its windows have several smallest documents
+            first, last = np.searchsorted(content, own), np.searchsorted(content, own, side="right")
+            src = np.repeat(np.arange(len(own)), last - first)
+            hit = _ranges(first, last - first)
+            some = least[hit] < doc[row[src]]
+            begin = start[src[some]] + off[hit[some]]
             np.add.at(change, begin, 1)
-            np.add.at(change, begin + size[hit], -1)
+            np.add.at(change, begin + size[hit[some]], -1)
         gone = np.cumsum(change[:-1]) > 0
         edge = np.concatenate([[True], gone[1:] != gone[:-1]]) if len(gone) else gone
         inner = offsets[(offsets > 0) & (offsets < len(data))]
@@ -322,6 +340,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, hot: int = 2000, id_col
         bounds = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(begin - offsets[row], pa.int64()), pa.array(end - offsets[row], pa.int64())], ["start", "end"])
         spans = pa.ListArray.from_arrays(pa.array(bounds), pairs)
+        pa.default_memory_pool().release_unused()
         return table.select(["chunk", "rid", "doc_id", "text"]).append_column("spans", spans)
 
     shared = C.shared_keys(x.groupBy("chunk").applyInArrow(announce, C.KEYS_SCHEMA))

@@ -6,7 +6,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import numpy as np
+import pyarrow as pa
 
+from helixmill.llm import common as C
 from helixmill.llm import suffix_dedup as S
 
 
@@ -67,3 +69,17 @@ def test_common_prefixes(symbols, depth):
         a, b = cut(sa[i - 1]), cut(sa[i])
         if len(a) == depth and len(b) == depth:
             assert parted[i] == (a != b)
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_passage_in_every_document(spark, hot):
+    """A line of all documents reaches a part once a chunk, however often it stands."""
+    line = "this line stands in each of the documents, and in some of them more than once. "
+    rows = [(i, f"own {i * 7919} " + line * (1 + i % 3) + f"tail {i * 104729}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.remove_repeats(docs, hot=hot).collect()
+    got = sorted(((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, hashlib.sha256(bytes(g.kept)).hexdigest()) for g in got), key=str)
+    assert got == brute(rows, 50)
+    data, offsets = C.text_bytes(pa.array([t for _, t in rows]))
+    _, _, key, _, content = S._runs(data, offsets, 50)
+    assert len(content) > 6 * len(set(content.tolist()))
