@@ -54,7 +54,7 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
         if 2 * k > m:
             break
         h = h[:-k] * power + h[k:]
-        power = power * power
+        power = U64(int(power) ** 2 % 2**64)
         k *= 2
     h = C.mix(done)
     span, k, low = window - m + 1, 1, h
@@ -74,7 +74,8 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
         return none
     stop = np.append(start[1:], len(low))
     left = np.concatenate([[0], np.cumsum(valid)])
-    return start, left[stop] - left[start], low[start], np.searchsorted(offsets, start, side="right") - 1
+    # minima are small numbers; mixed, they spread over all buckets
+    return start, left[stop] - left[start], C.mix(low[start]), np.searchsorted(offsets, start, side="right") - 1
 
 
 def _by_rid(table: pa.Table) -> pa.Table:
