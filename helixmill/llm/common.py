@@ -325,32 +325,34 @@ def look_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarr
 def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge (a, b); the component is its smallest node.
 
-    ``edges`` is best a written table. Alternating large-star and small-star steps (Kiveris et al.,
-    2014): a node's neighbours are only ever reduced to their minimum, never collected. The minima
-    are cached, not inlined, so that a centre's many edges may be split over tasks when joined; a
-    lost cache is computed again from the last round's table.
+    ``edges``: best a written table. Each round maps a node to the least of itself and its neighbours
+    (a minimum; neighbours are never collected) and contracts the edges along that map, until none is
+    left. Groups around one smallest node take one round. From the third round on "least" is by a
+    hash of node and round, so that long chains shrink by a constant share a round as well.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    before = None
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    maps = None
     for i in range(1, rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist()
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct().persist()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).persist()
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{i}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for x in (low2, large, low):
-            x.unpersist()
-        if now == before:
+        if i < 3:
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        else:
+            order = lambda c: F.xxhash64(c, F.lit(i))  # noqa: E731, B023
+            low = both.groupBy("u").agg(F.min_by("v", order("v")).alias("m")).select("u", F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
+        low = materialize(low, f"{name}-low{i}")
+        maps = low.select(F.col("u").alias("node"), F.col("m").alias("component")) if maps is None else materialize(
+            maps.join(low.select(F.col("u").alias("component"), "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component")), f"{name}-map{i}"
+        )
+        ends = e.join(low.select("u", F.col("m").alias("x")), "u").join(low.select(F.col("u").alias("v"), F.col("m").alias("y")), "v")
+        e = materialize(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), f"{name}-edges{i}")
+        if e.isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    if i < 3:
+        return maps
+    least = maps.groupBy("component").agg(F.min("node").alias("least"))
+    return maps.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def _with_heads(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
