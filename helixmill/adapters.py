@@ -1,10 +1,20 @@
 """Peptide-like views over the driver's tables; one SQL text for Spark and DuckDB.
 
-``[g]`` is empty in Spark and ``, 'g'`` in DuckDB, whose regexp_replace else replaces one match.
+``[g]`` is empty in Spark and ``, 'g'`` in DuckDB, whose regexp_replace else replaces one match. ``[p]``
+is the view's cleaned text (``CLEANED``), a subquery in DuckDB and a table held once computed in Spark.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.functions.barrier import held
+
+CLEANED = {
+    "samples": """select doc_id, substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
+  cast(case when doc_id % 2 = 0 then 3 + length(text) % 4 else 12 + length(text) % 25 end as int)) as pep from {documents}""",
+    "amp": """select doc_id, n_chars, substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
+  cast(case when doc_id % 2 = 0 then 3 + length(text) % 4 else 12 + length(text) % 25 end as int)) as pep from {documents} where doc_id % 7 < 2""",
+    "candidates": "select doc_id, regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]) as letters from {documents}",
+}
 VIEWS = {
     "samples": """
 select doc_id as sample_id, cast(doc_id % 8 as int) as config_id, pep,
@@ -13,9 +23,7 @@ select doc_id as sample_id, cast(doc_id % 8 as int) as config_id, pep,
        when doc_id % 3 = 0 then '<nblank><SOS>' || pep || '<EOS><AMD>'
        else '<nblank><SOS>' || pep || '<EOS><cblank>' end as generated_sequence,
   case doc_id % 4 when 0 then 'True' when 1 then ' false' when 2 then '1' else 'TRUE ' end as flag_text
-from (select doc_id, substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
-        cast(case when doc_id % 2 = 0 then 3 + length(text) % 4 else 12 + length(text) % 25 end as int)) as pep
-      from {documents}) p
+from [p] p
 """,
     "amp": """
 select doc_id as peptide_id,
@@ -28,9 +36,7 @@ select doc_id as peptide_id,
   case doc_id % 4 when 0 then '[''LIPID BILAYER'']' when 1 then '[''DNA / RNA'', ''OTHER'']'
     when 2 then '[''MEMBRANE PROTEIN'', ''CYTOPLASMIC PROTEIN'']' else '[]' end as target_objects_text,
   cast(n_chars % 997 + 1 as double) / 7 + cast(doc_id as double) / 1000 as mic
-from (select doc_id, n_chars, substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
-        cast(case when doc_id % 2 = 0 then 3 + length(text) % 4 else 12 + length(text) % 25 end as int)) as pep
-      from {documents} where doc_id % 7 < 2) p
+from [p] p
 """,
     "non_amp": """
 select item_id as non_id,
@@ -40,10 +46,9 @@ from {benchmark}
 """,
     "candidates": """
 select d.doc_id as item_id, cast(k.r_regionkey as int) as k,
-  '<nblank><SOS>' || substr(regexp_replace(d.text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]),
-    cast(1 + k.r_regionkey * 9 as int), 18) || '<EOS><cblank>' as candidate,
+  '<nblank><SOS>' || substr(d.letters, cast(1 + k.r_regionkey * 9 as int), 18) || '<EOS><cblank>' as candidate,
   cast(14 + d.doc_id % 22 as int) as length
-from {documents} d cross join {region} k
+from [p] d cross join {region} k
 """,
     "grid_summary": """
 select cast(g as int) as config_id, cast(floor(g / 64) as double) as species_scale,
@@ -77,12 +82,20 @@ from (select e.event_id as item_id, cast(p.r_regionkey as int) as pass, cast(t.n
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name].replace("[g]", "")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+def _sql(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    sql = sql.replace("[g]", "")
+    return spark.sql(sql, **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql and t not in given})
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """The view over ``sf_dir``, or over the tables given by name."""
+    if name not in CLEANED:
+        return _sql(spark, sf_dir, VIEWS[name], **given)
+    cleaned = held(_sql(spark, sf_dir, CLEANED[name], **given))
+    return _sql(spark, sf_dir, VIEWS[name].replace("[p]", "{cleaned}"), cleaned=cleaned, **{t: d for t, d in given.items() if "{" + t + "}" in VIEWS[name]})
 
 
 def oracle(*names: str) -> str:
     """The views as common table expressions for DuckDB."""
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n].replace('[g]', ', ' + chr(39) + 'g' + chr(39)).format(**{t: t for t in TABLES})})" for n in names)
+    each = {n: VIEWS[n].replace("[p]", f"({CLEANED.get(n, '')})").replace("[g]", ", 'g'").format(**{t: t for t in TABLES}) for n in names}
+    return "with " + ",\n".join(f"{n} as ({sql})" for n, sql in each.items())

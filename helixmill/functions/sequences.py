@@ -28,8 +28,8 @@ def strip(s: Column) -> Column:
 
 
 def extract_payload(s: Column) -> Column:
-    pattern = r"<SOS>([^\n]*?)<EOS>"
-    return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1)).otherwise(strip(s))
+    framed = F.regexp_substr(s, F.lit(r"<SOS>[^\n]*?<EOS>"))
+    return F.when(framed.isNotNull(), F.substring(framed, F.lit(6), F.length(framed) - 10)).otherwise(strip(s))
 
 
 def is_valid(s: Column) -> Column:

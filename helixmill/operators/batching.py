@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.sequences import extract_payload, is_valid
+from helixmill.functions.barrier import held
+from helixmill.functions.sequences import extract_payload, is_valid, parse_flag
 from helixmill.hashrand import hash_rank, uniform
 
 
@@ -49,7 +50,19 @@ def training_set(amp: DataFrame | None, non_amp: DataFrame | None) -> DataFrame:
     if not given:
         raise ValueError("no corpus")
     both = given[0] if len(given) == 1 else given[0].unionByName(given[1])
-    return both.select(extract_payload(F.col("s")).alias("payload")).where(is_valid(F.col("payload"))).distinct()
+    return training_list(both, "s").distinct()
+
+
+def training_list(df: DataFrame, col: str) -> DataFrame:
+    """Valid payloads of a corpus, repeats kept; rows without a sequence fall out."""
+    return held(df.select(extract_payload(F.col(col)).alias("payload"))).where(is_valid(F.col("payload")))
+
+
+def load_for_frequency(df: DataFrame, col: str, only_valid: bool = True, flag: str = "Is Valid") -> DataFrame:
+    """Valid payloads of generated samples, repeats kept; with ``only_valid`` of rows whose flag is true or 1, where there is one."""
+    if only_valid and flag in df.columns:
+        df = df.where(parse_flag(F.col(f"`{flag}`"), ("true", "1")))
+    return training_list(df, col)
 
 
 def param_grid(**scales: DataFrame) -> DataFrame:

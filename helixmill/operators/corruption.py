@@ -51,11 +51,22 @@ def masked_nll(scores: DataFrame, targets: DataFrame, exclude: list[int], pad_id
 
     ``scores`` (item_id, pos, token_id, score); ``targets`` (item_id, pos, target, is_masked).
     """
+    losses = _losses(scores, targets.where(F.col("is_masked") & (F.col("target") != pad_id)), exclude)
+    return losses.agg(F.coalesce(F.sum("loss") / F.nullif(F.count("loss"), F.lit(0)), F.lit(0.0)).alias("nll"), F.count("loss").alias("n_positions"))
+
+
+def _losses(scores: DataFrame, targets: DataFrame, exclude: list[int]) -> DataFrame:
+    """(item_id, pos, loss): negative log-likelihood of each target among the tokens that aren't excluded."""
     usable = scores.where(~F.col("token_id").isin(*exclude)) if exclude else scores
-    chosen = usable.join(targets.where(F.col("is_masked") & (F.col("target") != pad_id)), ["item_id", "pos"])
+    chosen = usable.join(targets, ["item_id", "pos"])
     top = chosen.groupBy("item_id", "pos").agg(F.max("score").alias("top"))
     sums = chosen.join(top, ["item_id", "pos"]).groupBy("item_id", "pos").agg(
         F.max("top").alias("top"), F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"), F.max(F.when(F.col("token_id") == F.col("target"), F.col("score"))).alias("hit")
     )
-    loss = F.col("top") + F.log("z") - F.col("hit")
-    return sums.agg(F.coalesce(F.sum(loss) / F.nullif(F.count(loss), F.lit(0)), F.lit(0.0)).alias("nll"), F.count(loss).alias("n_positions"))
+    return sums.select("item_id", "pos", (F.col("top") + F.log("z") - F.col("hit")).alias("loss"))
+
+
+def position_nll(scores: DataFrame, targets: DataFrame, mask_id: int, weight: float = 1.5) -> DataFrame:
+    """One row over all positions, masked or not: mean negative log-likelihood without the mask token, and ``weight`` times it."""
+    nll = F.avg("loss")
+    return _losses(scores, targets, [mask_id]).agg(nll.alias("nll"), (weight * nll).alias("total"), F.count("loss").alias("n_positions"))

@@ -4,13 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions import properties as P
-from helixmill.functions.sequences import extract_payload, is_valid
+from helixmill.functions.barrier import held
+from helixmill.functions.sequences import extract_payload, is_valid, parse_flag
 
 
 def judged(samples: DataFrame, training: DataFrame, run: str = "config_id", order: str = "sample_id") -> DataFrame:
     """Adds ``payload``, ``is_valid``, ``known`` and ``is_repeat``."""
-    s = samples.withColumn("payload", extract_payload(F.col("generated_sequence")))
-    s = s.withColumn("is_valid", is_valid(F.col("payload")))
+    s = held(samples.withColumn("payload", extract_payload(F.col("generated_sequence"))))
+    s = held(s.withColumn("is_valid", is_valid(F.col("payload"))))
     return flag_repeat(flag_known(s, training), run, order)
 
 
@@ -39,16 +40,18 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(F.round(100.0 * a / b, 2))
 
 
-def run_rates(d: DataFrame, run: str = "config_id") -> DataFrame:
-    """Counts and rates of each run, from judged samples. The novel count holds repeats too."""
-    total = d.groupBy(run).agg(
+def _counts() -> list[Column]:
+    return [
         F.count("*").alias("total_samples"),
         F.count_if("is_valid").alias("valid_count"),
         F.count_if(F.col("is_valid") & ~F.col("known")).alias("novel_count"),
         F.count_if(F.col("is_valid") & ~F.col("is_repeat")).alias("unique_count"),
-    )
+    ]
+
+
+def _rates(counts: DataFrame) -> DataFrame:
     c = F.col
-    return total.withColumn("repeat_count", c("valid_count") - c("unique_count")).withColumns(
+    return counts.withColumn("repeat_count", c("valid_count") - c("unique_count")).withColumns(
         {
             "success_rate": ratio(c("valid_count"), c("total_samples")),
             "novelty_rate": ratio(c("novel_count"), c("total_samples")),
@@ -58,18 +61,53 @@ def run_rates(d: DataFrame, run: str = "config_id") -> DataFrame:
     )
 
 
+def run_rates(d: DataFrame, run: str = "config_id") -> DataFrame:
+    """Counts and rates of each run, from judged samples. The novel count holds repeats too."""
+    return _rates(d.groupBy(run).agg(*_counts()))
+
+
+def run_report(scored: DataFrame, run: str = "config_id") -> DataFrame:
+    """``run_rates`` and the means of ``run_property_means`` of each run, in one aggregation."""
+    return _rates(scored.groupBy(run).agg(*_counts(), *_means()))
+
+
+SUMMARY = ["species_scale", "groups_scale", "mic_scale", "valid_count", "novel_count", "repeat_count", "total_samples", "success_rate", "novelty_rate", "repeat_rate", "output_file"]
+
+
+def summary_row(rates: DataFrame, settings: DataFrame, run: str = "config_id") -> DataFrame:
+    """The summary table's row of each run: its scales and output file from ``settings``, counts, rates as text of two decimals."""
+    rounded = {c: F.format_string("%.2f", F.col(c)) for c in ("success_rate", "novelty_rate", "repeat_rate")}
+    return rates.select(run, *SUMMARY[3:-1]).withColumns(rounded).join(settings.select(run, *SUMMARY[:3], "output_file"), run).select(run, *SUMMARY)
+
+
 def score_samples(d: DataFrame) -> DataFrame:
     """Five scores of valid and novel rows, 0 for the others."""
-    s = F.upper("payload")
+    d = held(d.withColumn("_s", F.upper("payload")))
+    s = F.col("_s")
     scores = {
         "charge_score": P.charge_score(s), "alpha_score": P.hmoment(s, 100), "beta_score": P.hmoment(s, 160, True), "boman_index": P.boman(s), "gravy_score": P.gravy(s),
     }
     mask = F.col("is_valid") & ~F.col("known")
-    return d.withColumn("scored", mask).withColumns({k: F.when(mask, v).otherwise(0.0) for k, v in scores.items()})
+    return held(d.withColumn("scored", mask).withColumns({k: F.when(mask, v).otherwise(0.0) for k, v in scores.items()}).drop("_s"))
+
+
+def _means() -> list[Column]:
+    names = ["charge_score", "alpha_score", "beta_score", "boman_index", "gravy_score"]
+    return [F.avg(F.when(F.col("scored"), F.col(n))).alias(f"mean_{n}") for n in names]
 
 
 def run_property_means(scored: DataFrame, runs: DataFrame, run: str = "config_id") -> DataFrame:
     """Means over each run's scored rows; NULL with none, or with no samples at all."""
-    names = ["charge_score", "alpha_score", "beta_score", "boman_index", "gravy_score"]
-    means = scored.groupBy(run).agg(*[F.avg(F.when(F.col("scored"), F.col(n))).alias(f"mean_{n}") for n in names])
+    means = scored.groupBy(run).agg(*_means())
     return runs.select(run).distinct().join(means, run, "left")
+
+
+def attach_runs(summary: DataFrame, samples: DataFrame) -> DataFrame:
+    """``summary`` with the five mean scores of each row's ``output_file``; NULL where the file is missing or has no valid, novel row.
+
+    ``samples``: rows of those files as ``readers.read_runs`` gives them.
+    """
+    c = F.col
+    judged_ = samples.select("output_file", c("Extracted Sequence").alias("payload"), parse_flag(c("Is Valid")).alias("is_valid"), parse_flag(c("In Training Data")).alias("known"))
+    means = score_samples(judged_).groupBy("output_file").agg(*_means())
+    return summary.join(means, "output_file", "left")

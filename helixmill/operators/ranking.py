@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill import constants as K
+from helixmill.functions.barrier import held
 from helixmill.functions.properties import charge_at_ph, diversity
 from helixmill.functions.sequences import clean_residues, tokenize
 
@@ -45,13 +46,13 @@ def candidate_residues(df: DataFrame) -> DataFrame:
     """Adds ``residues``: the first ``length`` tokens, two cut from either end if over four, letters only."""
     t = F.slice(tokenize(F.col("candidate")), F.lit(1), F.col("length"))
     inner = F.when(F.size("_t") > 4, F.slice("_t", F.lit(3), F.size("_t") - 4)).otherwise(F.col("_t"))
-    return df.withColumn("_t", t).withColumn("residues", clean_residues(F.array_join(inner, ""))).drop("_t")
+    return held(held(df.withColumn("_t", t)).withColumn("residues", clean_residues(F.array_join(inner, ""))).drop("_t"))
 
 
 def best_of_k(df: DataFrame, low: float = 2.0, high: float = 9.0) -> DataFrame:
     """Of an item's candidates the most diverse with a charge in [low, high]; the first on ties; candidate 0 if none has."""
-    d = candidate_residues(df).withColumn("charge", charge_at_ph(F.col("residues")))
-    d = d.withColumn("eligible", F.coalesce(F.col("charge").between(low, high), F.lit(False)))
-    value = F.when(F.col("eligible"), F.round(diversity(F.col("residues")), 6)).otherwise(0.0)
-    best = d.groupBy("item_id").agg(F.max_by(F.struct("k", "residues", "eligible"), F.struct("eligible", value, -F.col("k"))).alias("b"))
+    d = held(candidate_residues(df).withColumn("charge", charge_at_ph(F.col("residues"))))
+    d = held(d.withColumn("eligible", F.coalesce(F.col("charge").between(low, high), F.lit(False))))
+    d = held(d.withColumn("_v", F.when(F.col("eligible"), F.round(diversity(F.col("residues")), 6)).otherwise(0.0)))
+    best = d.groupBy("item_id").agg(F.max_by(F.struct("k", "residues", "eligible"), F.struct("eligible", "_v", -F.col("k"))).alias("b"))
     return best.select("item_id", "b.k", "b.residues", "b.eligible")

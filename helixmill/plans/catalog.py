@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill import constants as K
-from helixmill.adapters import oracle, view
+from helixmill.adapters import VIEWS, oracle, view
 from helixmill.functions import properties as P
 from helixmill.functions import sequences as S
 from helixmill.operators import batching, composition, conditions, corruption, evaluation, ranking, scores, vocabulary
@@ -387,6 +387,16 @@ def _(spark, d):
     return corruption.masked_nll(s, t, [4, 0], 0).select(r6("nll").alias("nll"), "n_positions")
 
 
+@query("position_nll", oracle("scores") + """, t as (select distinct item_id, pos, cast((item_id + pos) % 4 as integer) as target from scores),
+x as (select item_id, pos, any_value(target) as target, max(score) as top from scores join t using (item_id, pos) where pass = 0 and token_id <> 4 group by item_id, pos),
+z as (select item_id, pos, any_value(top) + ln(sum(exp(score - top))) - max(case when token_id = target then score end) as loss from scores join x using (item_id, pos) where pass = 0 and token_id <> 4 group by item_id, pos)
+select round(avg(loss), 6) as nll, round(1.5 * avg(loss), 6) as total, count(loss) as n_positions from z""")
+def _(spark, d):
+    s = view(spark, d, "scores").where("pass = 0")
+    t = s.select("item_id", "pos").distinct().withColumn("target", F.expr("cast((item_id + pos) % 4 as int)"))
+    return corruption.position_nll(s, t, 4).select(r6("nll").alias("nll"), r6("total").alias("total"), "n_positions")
+
+
 # ---------------------------------------------------------------- evaluation
 
 @query("novelty_flag", JUDGED + " select sample_id, known from judged")
@@ -427,14 +437,21 @@ def _(spark, d):
     return evaluation.run_rates(judged(spark, d))
 
 
+@query("summary_row", JUDGED + f""", g as (select config_id, species_scale, groups_scale, mic_scale from ({VIEWS['grid_summary'].format(lineitem='lineitem')}) q), r as ({RATES.replace("[x]", "")})
+select r.config_id, species_scale, groups_scale, mic_scale, valid_count, novel_count, repeat_count, total_samples, printf('%.2f', success_rate) as success_rate,
+printf('%.2f', novelty_rate) as novelty_rate, printf('%.2f', repeat_rate) as repeat_rate, 'run-' || r.config_id || '.csv' as output_file from r join g using (config_id)""")
+def _(spark, d):
+    settings = view(spark, d, "grid_summary").withColumn("output_file", F.format_string("run-%d.csv", "config_id"))
+    return evaluation.summary_row(evaluation.run_rates(judged(spark, d)), settings)
+
+
 @query("stream_run_rates", JUDGED + RATES.replace("[x]", ""))
 def _(spark, d):
-    from helixmill.adapters import VIEWS
     from helixmill.streaming.run_rates import stream_run_rates
 
     path = f"{d}/documents.parquet"
     docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # one file or a folder of them
-    return stream_run_rates(spark, spark.sql(VIEWS["samples"].replace("[g]", ""), documents=docs), training(spark, d))
+    return stream_run_rates(spark, view(spark, d, "samples", documents=docs), training(spark, d))
 
 
 SCORES = {"charge_score": charge_score, "alpha_score": lambda c: moment(c, 100), "beta_score": lambda c: moment(c, 160, True), "boman_index": lambda c: mean_of(c, K.BOMAN), "gravy_score": lambda c: mean_of(c, K.KYTE_DOOLITTLE)}
@@ -473,7 +490,7 @@ select source, count(*) as n, round(avg({charge7('r')}), 6) as mean_charge, roun
 def _(spark, d):
     a = view(spark, d, "samples").select(F.lit("samples").alias("source"), S.clean_residues(F.col("pep")).alias("residues"))
     b = view(spark, d, "non_amp").select(F.lit("negatives").alias("source"), S.clean_residues(F.col("sequence")).alias("residues"))
-    out = composition.charge_summary(a.unionByName(b))
+    out = composition.charge_summary(a.unionByName(b), ["samples", "negatives"])
     return out.select("source", "n", r6("mean_charge").alias("mean_charge"), r6("var_charge").alias("var_charge"))
 
 
@@ -482,14 +499,25 @@ PAYLOADS = JUDGED + f", tp as (select p from (select {payload('modified_sequence
 
 def _lists(spark, d):
     amp, neg = view(spark, d, "amp").select("modified_sequence"), view(spark, d, "non_amp").select("sequence")
-    train = amp.union(neg).select(S.extract_payload(F.col("modified_sequence")).alias("payload")).where(S.is_valid(F.col("payload")))
-    s = view(spark, d, "samples").where(S.parse_flag(F.col("flag_text"), ("true", "1")))
-    return train, s.select(S.extract_payload(F.col("generated_sequence")).alias("payload")).where(S.is_valid(F.col("payload")))
+    return batching.training_list(amp.union(neg), "modified_sequence"), batching.load_for_frequency(view(spark, d, "samples"), "generated_sequence", flag="flag_text")
 
 
 SAMPLED = "sp as (select payload as p from s2 where is_valid and lower(trim(flag_text)) in ('true', '1'))"
 
 
+@query("training_list", PAYLOADS + " select p as payload, count(*) as n from tp group by p")
+def _(spark, d):
+    return _lists(spark, d)[0].groupBy("payload").agg(F.count("*").alias("n"))
+
+
+@query("frequency_list", PAYLOADS + f""", {SAMPLED}, al as (select payload as p from s2 where is_valid)
+select p as payload, max(a) as n_all, max(v) as n_flagged from (select p, count(*) as a, 0 as v from al group by p union all select p, 0, count(*) from sp group by p) x group by p""")
+def _(spark, d):
+    s = view(spark, d, "samples")
+    rows = [batching.load_for_frequency(s, "generated_sequence", only, "flag_text").withColumn("only", F.lit(only)) for only in (False, True)]
+    return rows[0].unionByName(rows[1]).groupBy("payload").agg(F.count_if(~F.col("only")).alias("n_all"), F.count_if("only").alias("n_flagged"))
+
+
 @query("aa_frequency", PAYLOADS + f""", {SAMPLED}, a as (select unnest(string_split(p, '')) as residue from tp), b as (select unnest(string_split(p, '')) as residue from sp),
 x as (select residue, (select count(*) from a where a.residue = l.residue) as training_count, (select count(*) from b where b.residue = l.residue) as sampled_count from letters l)
 select residue, case when residue = upper(residue) then 'L' else 'D' end as type, training_count, round(100.0 * training_count / (select count(*) from a), 6) as training_frequency,
@@ -581,9 +609,8 @@ def _(spark, d):
 
 
 def flagship(spark, d) -> DataFrame:
-    """How every run did: rates and mean scores from one table of samples."""
-    j = evaluation.score_samples(judged(spark, d))
-    return evaluation.run_rates(j).join(evaluation.run_property_means(j, j), "config_id")
+    """How every run did: rates and mean scores from one table of samples, in one aggregation."""
+    return evaluation.run_report(evaluation.score_samples(judged(spark, d)))
 
 
 @query("grid_report", SCORED + ", rates as (" + RATES.replace("[x]", "coalesce(round(100.0 * novel_count / nullif(valid_count, 0), 2), 0) as novelty_of_valid, ") + "), means as (select config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from scored group by config_id) select * from rates join means using (config_id)")

@@ -38,6 +38,26 @@ def read_samples(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(schema).csv(paths, header=True, comment="#").withColumn("output_file", F.input_file_name())
 
 
+def read_runs(spark: SparkSession, summary: DataFrame) -> DataFrame:
+    """The sample files that ``summary.output_file`` names, each row with the name given there; missing files have no rows.
+
+    The names are a list of files, which Spark's reader keeps on the driver as well: one a run.
+    """
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for (name,) in summary.select("output_file").where("output_file is not null").distinct().collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            found[name] = fs.makeQualified(path).toUri().getPath()
+    schema = "output_file string, _path string"
+    names = spark.createDataFrame(list(found.items()), schema)
+    if not found:
+        none = "`Generated Sequence` string, `Extracted Sequence` string, `Is Valid` string, `In Training Data` string, `Is Repeat` string, output_file string"
+        return spark.createDataFrame([], none)
+    rows = read_samples(spark, list(found)).drop("output_file").withColumn("_path", F.regexp_replace(F.url_decode(F.input_file_name()), r"^\w+:/+(?=/)|^\w+:", ""))
+    return rows.join(F.broadcast(names), "_path").drop("_path")
+
+
 def resolve_column(df: DataFrame, names: list[str], on_missing: str = "raise") -> DataFrame:
     """The first of ``names`` that ``df`` has, as ``sequence``; else an error or the first column."""
     found = next((n for n in names if n in df.columns), None)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.functions.barrier import held
 from helixmill.functions.sequences import extract_payload, is_valid
 from helixmill.operators.evaluation import ratio
 from helixmill.session import scratch
@@ -27,7 +28,8 @@ def stream_run_rates(spark: SparkSession, samples: DataFrame, training: DataFram
 
     Each micro-batch appends the counts it changed; counts only grow, so the largest is current.
     """
-    s = samples.select(run, extract_payload(F.col("generated_sequence")).alias("payload")).withColumn("is_valid", is_valid(F.col("payload")))
+    s = held(samples.select(run, extract_payload(F.col("generated_sequence")).alias("payload")))
+    s = held(s.withColumn("is_valid", is_valid(F.col("payload"))))
     s = s.join(training.select("payload", F.lit(True).alias("_known")), "payload", "left").withColumn("known", F.col("is_valid") & F.coalesce("_known", F.lit(False)))
     counts = s.groupBy(run, "payload", "is_valid", "known").agg(F.count("*").alias("n"))
     out = scratch(spark, "counts")

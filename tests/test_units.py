@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import properties as P
 from helixmill.functions import sequences as S
-from helixmill.operators import batching, conditions, corruption, evaluation, ranking
+from helixmill.operators import batching, composition, conditions, corruption, evaluation, ranking
 from helixmill.plans import catalog
 from helixmill.sources import readers, writers
 
@@ -106,3 +106,65 @@ def test_plans_are_native(spark):
     for name in ("run_rates", "score_samples", "balanced_batches", "aa_frequency"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "BroadcastNestedLoopJoin LeftOuter" not in plan, name
+
+
+def test_cleaning_is_computed_once(spark):
+    """The whole-text regular expression stands once a view's scan in the optimized plan, whatever uses its result.
+
+    Samples are scanned twice where repeats are told: for the rows and for each payload's first place.
+    """
+    for name, views in (("run_rates", 4), ("grid_report", 4), ("score_samples", 4), ("run_property_means", 4), ("aa_frequency", 3), ("best_of_k", 1)):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(text") == views, (name, plan.count("regexp_replace(text"))
+
+
+def test_more_readers_and_sinks(spark, tmp_path):
+    (tmp_path / "n.csv").write_text(",Sequence\n0,ACK\n1,\n")
+    assert [tuple(r) for r in readers.read_negatives(spark, str(tmp_path / "n.csv")).collect()] == [("ACK", "<nblank><SOS>ACK<EOS><cblank>"), (None, None)]
+    (tmp_path / "p.csv").write_text("sequence\n<SOS>AC<EOS>\nplain\n")
+    assert [r.raw_sequence for r in readers.read_proteins(spark, str(tmp_path / "p.csv")).collect()] == ["AC", None]
+    (tmp_path / "s.txt").write_text(" <SOS>A<EOS>\n\n  \nB\n")
+    assert [r.sequence for r in readers.read_sample_lines(spark, str(tmp_path / "s.txt")).collect()] == ["<SOS>A<EOS>", "B"]
+    d = spark.createDataFrame([("AC", 1), ("K", 2)], "first string, x int")
+    assert [r.sequence for r in readers.resolve_column(d, ["nope"], "first").collect()] == ["AC", "K"]
+    writers.write_scored(d, str(tmp_path / "scored"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "scored")).collect())) == [("AC", 1), ("K", 2)]
+    with pytest.raises(Exception, match="exists"):
+        writers.write_scored(d, str(tmp_path / "scored"))
+    for write, name in ((writers.write_frequencies, "freq"), (writers.write_bins, "bins")):
+        write(d, str(tmp_path / name))
+        assert sorted(map(tuple, spark.read.csv(str(tmp_path / name), header=True).collect())) == [("AC", "1"), ("K", "2")]
+        with pytest.raises(Exception, match="exists"):
+            write(d, str(tmp_path / name))
+
+
+def test_runs_of_a_summary(spark, tmp_path):
+    head = "# a\nGenerated Sequence,Extracted Sequence,Is Valid,In Training Data,Is Repeat\n"
+    (tmp_path / "a b.csv").write_text(head + "x,KKKKRDE,True,False,False\nx,KKKKRDE,True,True,False\nx,,False,False,False\n")
+    (tmp_path / "none.csv").write_text(head + "x,AC,True,True,False\n")
+    files = [str(tmp_path / n) for n in ("a b.csv", "none.csv", "missing.csv")]
+    summary = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "config_id int, output_file string")
+    out = {r.config_id: r.mean_charge_score for r in evaluation.attach_runs(summary, readers.read_runs(spark, summary)).collect()}
+    assert out == {0: pytest.approx(0.754840, abs=1e-6), 1: None, 2: None}
+    nowhere = summary.where("config_id = 2")
+    assert [r.mean_gravy_score for r in evaluation.attach_runs(nowhere, readers.read_runs(spark, nowhere)).collect()] == [None]
+
+
+def test_lists_flags_and_empty_sides(spark):
+    d = spark.createDataFrame([("<SOS>AC<EOS>", "True"), ("AC", "no"), ("A1", "1"), (None, "1")], "s string, `Is Valid` string")
+    assert [r.payload for r in batching.training_list(d, "s").collect()] == ["AC", "AC"]
+    assert batching.load_for_frequency(d, "s").count() == 1 and batching.load_for_frequency(d, "s", only_valid=False).count() == 2
+    assert batching.load_for_frequency(d.select("s"), "s").count() == 2
+    q = spark.createDataFrame([("a", "KR"), ("b", "")], "source string, residues string")
+    assert composition.charge_summary(q, ["a"]).count() == 1
+    with pytest.raises(Exception, match="no residues in b"):
+        composition.charge_summary(q, ["a", "b"]).collect()
+
+
+def test_negative_conditions_by_hash(spark):
+    d = spark.range(400).select("id")
+    rows = [r.condition for r in conditions.negative_condition(d, "hash", 1, "id").collect()]
+    assert all(len(c) == 26 and sum(c[:6]) == 1 and sum(c[6:16]) == 0 and sum(c[16:]) == 1 for c in rows)
+    assert len({c[:6].index(1.0) for c in rows}) == 6 and len({c[16:].index(1.0) for c in rows}) == 10
+    again = conditions.negative_condition(d.repartition(3), "hash", 1, "id").orderBy("id").collect()
+    assert [r.condition for r in again] == rows
