@@ -1,15 +1,17 @@
 """Operator 1, HTML extraction: the maximum-scoring contiguous run of a page's tokens.
 
 A page is a sequence of tokens, words and tags. Weights come from labelled pages: pages that mark
-their article with exactly one ``<article>`` say which tokens are content. A word scores the
-log-odds of its context (the innermost container's tag and class) and a tag a penalty that grows
-with how often it stands outside content. ``article`` itself is no feature, so weights serve pages
-without it. One linear scan per page finds the contiguous run with the largest sum; the blocks it
-touches are the text.
-
-Never content, whatever their score: scripts, styles, comments, forms and their parts, navigation,
-headers, footers and sidebars of the page, adverts, notices, reader comments. They are told by tag
-or by the words of class, id and role.
+their article with exactly one ``<article>`` say which tokens are content. A word scores by the
+class and id names of all elements around it, if one of them is known to stand outside content, and
+else by the tag of its block; a tag scores a penalty that grows with how often it stands outside.
+``article`` itself is no feature, so weights serve pages without it. One linear scan per page finds
+the contiguous run with the largest sum; the blocks it touches are the text, but for those inside
+that names tell from content.
+
+Names are learned as they stand (``no-sidebar`` is not ``sidebar``). A name that was never seen tells
+nothing, unless all its words are words for boilerplate; names of html, body, main and article never
+do. Tags alone bar scripts, styles, navigation, page headers, footers, asides and forms, though not
+a form that holds most of the page's words.
 
 Weights are counted on at most ``train_pages`` pages (those with the smallest hash of their id), as
 sums per hashed feature in a table of fixed size; each page is scanned whole.
@@ -44,18 +46,31 @@ BOILER = frozenset(
     "comment comments reply replies respond disqus sidebar aside menu nav navigation navbar breadcrumb breadcrumbs header masthead footer social share sharing related login search form".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+FEATURE = 80  # signs of a feature's name
+WHOLE = frozenset("html body main article".split())
+
+# a quote opens a value only after an equals sign; nothing is tried twice
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)((?>[^<>=]|=\s*+(?>\"[^\"]*\"|'[^']*')?)*+)>",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def _boiler(name: str) -> bool:
+    words = [w for w in _SPLIT.split(name) if w]
+    return bool(words) and BOILER.issuperset(words)
+
+
 def tokens(page: str):
-    """(kind, name or text, context, content-mark, barred) for each tag ('<') and each run of text ('w') of a page.
+    """(kind, name or text, block tag, names, in article, barred) for each tag ('<') and run of text ('w').
 
-    ``context``: the innermost block container as tag.class; ``content-mark``: inside <article>.
+    ``names``: those of all elements around; ``barred``: 0 no, 1 by a form alone, 2 by another tag.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, context, article, barred
-    at = 0
+    stack: list[tuple] = [("", "", frozenset(), False, 0)]  # tag, then what each token says
+    at, last = 0, page.rfind(">") + 1
 
     def closing(names):
         for k in range(len(stack) - 1, 0, -1):
@@ -65,7 +80,7 @@ def tokens(page: str):
             if stack[k][0] not in INLINE:
                 return
 
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(page, 0, last):
         if m.start() > at:
             yield ("w", page[at : m.start()], *stack[-1][1:])
         at = m.end()
@@ -86,18 +101,21 @@ def tokens(page: str):
             closing(("p",))
         if name in SELF_CLOSING:
             closing(SELF_CLOSING[name])
-        _, context, article, barred = stack[-1]
-        words = [w for g in _NAMES.findall(m[4] or "") for w in _SPLIT.split(g.lower()) if w]
-        if name not in INLINE or name == "a":
-            context = name + "." + "-".join(words) if words else name
+        _, block, names, article, barred = stack[-1]
+        if name not in WHOLE and name not in INLINE:
+            names = names.union(w for g in _NAMES.findall(m[4] or "") for w in g.strip("\"'").lower().split())
+        block = block if name in INLINE else "" if name == "article" else name
         # a header inside the article may hold its heading; a page's header doesn't
-        barred = barred or (name in NEVER and not (name == "header" and article)) or not BOILER.isdisjoint(words)
+        if name in NEVER and not (name == "header" and article):
+            barred = max(barred, 1 if name == "form" else 2)
         article = article or name == "article"
-        yield ("<", name, context, article, barred)
+        yield ("<", name, block, names, article, barred)
         if name not in VOID and not (m[4] or "").endswith("/"):
-            stack.append((name, "" if name == "article" else context, article, barred))
+            stack.append((name, block, names, article, barred))
     if at < len(page):
-        yield ("w", page[at:], *stack[-1][1:])
+        rest = page[at:]
+        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that is never closed ends the text
+        yield ("w", rest[: cut.start()] if cut else rest, *stack[-1][1:])
 
 
 def _features(batches):
@@ -107,13 +125,13 @@ def _features(batches):
         for page in b.column(0).to_pylist():
             if not page or len(re.findall(r"<article\b", page, re.I)) != 1:
                 continue
-            for kind, text, context, article, barred in tokens(page):
+            for kind, text, block, names, article, barred in tokens(page):
                 if kind == "<" and text.strip("/") == "article":
                     continue
                 n = 1 if kind == "<" else len(text.split())
                 if n:
-                    s = sums.setdefault(("t:" + text if kind == "<" else "c:" + context)[:60], [0, 0])
-                    s[0 if article and not barred else 1] += n
+                    for f in ["t:" + text] if kind == "<" else ["b:" + block, *("n:" + x for x in names)]:
+                        sums.setdefault(f[:FEATURE], [0, 0])[0 if article and not barred else 1] += n
     rows = list(sums.items())
     yield pa.RecordBatch.from_arrays(
         [pa.array([k for k, _ in rows], pa.string()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())],
@@ -144,7 +162,18 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     scores: list[float] = []
     current: list[str] = []
     opened = 0
-    for kind, text, context, _, barred in [*tokens(page or ""), ("<", "/html", "", False, False)]:
+    told: dict[frozenset, float] = {}
+
+    def by_names(names: frozenset) -> float:
+        if names not in told:
+            told[names] = min((weights.get(("n:" + x)[:FEATURE], -1.0 if _boiler(x) else 1.0) for x in names), default=1.0)
+        return told[names]
+
+    found = [*tokens(page or ""), ("<", "/html", "", frozenset(), False, 0)]
+    words = [len(x[1].split()) if x[0] == "w" and x[5] < 2 else 0 for x in found]
+    in_forms = sum(n for n, x in zip(words, found) if x[5] == 1)
+    least = 2 if 2 * in_forms > sum(words) else 1  # what bars
+    for n, (kind, text, block, names, _, barred) in zip(words, found):
         if kind == "<":
             name = text.strip("/")
             if current and name == "br":
@@ -155,13 +184,15 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
                     blocks.append((opened, len(scores), line))
                 current = []
             scores.append(weights.get("t:" + text, -0.05))
-        elif barred:
+        elif barred >= least:
             scores.append(-3.0)
+        elif (told_by := by_names(names)) < 0:
+            scores.append(told_by * n)
         else:
             if not current:
                 opened = len(scores)
             current.append(text)
-            scores.append(weights.get("c:" + context, 1.0) * len(text.split()))
+            scores.append(weights.get("b:" + block, 1.0) * n)
     best, total, begin = (0.0, 0, -1), 0.0, 0
     for i, s in enumerate(scores):
         if total <= 0:

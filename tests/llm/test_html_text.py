@@ -29,7 +29,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T x</title><script>if (a<b) "</p>"</
 
 
 def test_page_without_article():
-    weights = {"t:nav": -3.0, "t:li": -3.0, "t:a": -2.0, "t:footer": -3.0, "c:p": 1.0, "c:h1": 1.0}
+    weights = {"t:nav": -3.0, "t:li": -3.0, "t:a": -2.0, "t:footer": -3.0, "b:p": 1.0, "b:h1": 1.0}
     assert H.main_text(PAGE, weights) == "A & B\nFirst paragraph with some words <ok>\nSecond line of it é"
 
 
@@ -39,3 +39,42 @@ def test_odd_rows(spark):
     got = {r.page_id: r.text for r in H.extract(pages).collect()}
     assert got[1] == "" and got[None] == "" and got[3] == "" and got[4] == "plain words only" and len(got[5].split()) == 50000
     assert H.extract(pages.limit(0)).collect() == []
+
+
+def test_articles_in_other_elements(spark):
+    """Weights of pages with <article> serve pages where it is a div: the text is the same."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = H.learn(pages)
+    bad = 0
+    for r in pages.collect():
+        for tag in ("div", "section", 'div class="post-body"'):
+            page = r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+            bad += H.main_text(page, weights) != reference(r.html)
+    assert bad == 0, bad
+
+
+BODY = "<p>" + "One sentence of the article after another. " * 8 + "</p>"
+TEXT = ("One sentence of the article after another. " * 8).strip()
+
+
+def test_names_that_only_look_like_boilerplate(spark):
+    weights = H.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    for page in (
+        f'<html><body class="page has-sidebar">{BODY}</body></html>', f'<html><body class="no-sidebar">{BODY}</body></html>',
+        f'<html class="no-js cookies"><body>{BODY}</body></html>', f'<body><form action="/">{BODY}</form></body>', f'<div class="ad-free content">{BODY}</div>',
+        f'<div class="related-work">{BODY}</div>', f'<article class="post comments">{BODY}</article>', f'<main id="search">{BODY}</main>',
+    ):
+        assert H.main_text(page, weights) == TEXT, page
+    inner = f'<article>{BODY}<div id="form-of-government">{BODY}</div><div class="advert">{BODY}</div>{BODY}</article>'
+    assert H.main_text(inner, weights) == "\n".join([TEXT] * 3)
+    assert H.main_text(f"<p title=it's>{BODY[3:]}", weights) == TEXT
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for piece in ('<a "', "<a x='", '<a x="', "<!", "<b", "<p =", "<!--"):
+        began = time.process_time()
+        H.main_text("text " + piece * 20000, {})
+        H.main_text("text " + piece * 20000 + ">", {})
+        assert time.process_time() - began < 3, piece
