@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.session import scratch
+
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -35,20 +35,9 @@ def chunk_count(spark: SparkSession) -> int:
     return 2 * shuffle_width(spark)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only in local mode, where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/helixmill-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder the cluster names."""
+    return scratch(spark, name)
 
 
 def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:

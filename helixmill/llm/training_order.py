@@ -9,6 +9,9 @@
    ``(t mod per_shard) * stride`` and a reader resumes anywhere. A shard is written beside its
    place and then moved, so a repeated task leaves the same file.
 
+The order is fixed by the key, the table and its files' partitioning; ``sequences`` is written once,
+so a repeated task never changes it.
+
 Rows: a null or empty text is the end id alone; repeated rows are written again; a null doc_id
 counts as any other; other columns are ignored; no rows give no shards.
 """
@@ -155,8 +158,8 @@ def read_shards(folder: str, first: int, last: int, size: int = 2048, per_shard:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: all documents as 2048-id sequences in a keyed training order, written as binary shards."""
+    """op4: all documents as 2048-id sequences in a keyed training order, written as binary shards, whose paths are returned."""
     seqs = C.materialize(sequences(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sequences")
     shards = write_shards(in_training_order(seqs), C.scratch_path(spark, "shards"))
     # the files are written once; what the query returns is the list of them
-    return C.materialize(shards, "shard-list", release=True).select("slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32")
+    return C.materialize(shards, "shard-list", release=True).select("slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32", "path")

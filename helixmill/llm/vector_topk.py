@@ -13,7 +13,8 @@ at most ``groups * k`` rows a query.
 Rows: vectors that are null, or hold null or non-finite components, take no part; vectors of
 another length than the most frequent one (ties: the longer) take none either, nor rows without an
 id. Rows with a query's own id are no candidates of it; otherwise repeated rows rank as often as
-they stand. Ties go to the smaller id. Other columns are ignored; no rows give no rows.
+they stand. Ties go to the smaller id. Other columns are ignored; no rows give no rows. A component
+or score that 64 bits can't hold is an error, never another number.
 """
 
 from __future__ import annotations
@@ -51,10 +52,12 @@ def top_k(
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(scale * x)."""
     spark = vectors.sparkSession
 
+    too_large = F.raise_error(F.lit(f"a component times {scale} doesn't fit in 64 bits")).cast("double")
+
     def clean(df):
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
         return rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))").withColumn(
-            "v", F.transform("v", lambda x: F.floor(x * scale).cast("double"))
+            "v", F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("double")).otherwise(too_large))
         )
 
     all_, asked = clean(vectors), clean(queries)
@@ -120,7 +123,8 @@ def top_k(
                         kth[r] = best_s[r][-1] if exact else -np.inf
         n = [len(x) for x in best_i]
         scores = np.concatenate(best_s)
-        return pa.table({"query_id": pa.array(np.repeat(qid, n)), "vec_id": pa.array(np.concatenate(best_i)), "score": pa.array([max(-(2**63), min(int(x), 2**63 - 1)) for x in scores], pa.int64())})
+        # a score beyond 64 bits is an error of the conversion
+        return pa.table({"query_id": pa.array(np.repeat(qid, n)), "vec_id": pa.array(np.concatenate(best_i)), "score": pa.array([int(x) for x in scores], pa.int64())})
 
     hits = q.groupBy("q", "g").cogroup(c.groupBy("q", "g")).applyInArrow(search, HITS)
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

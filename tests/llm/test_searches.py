@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 import oracle
 from helixmill.llm import benchmark_leaks, vector_topk
 
@@ -26,6 +28,16 @@ def test_topk_small(spark):
     assert [r.vec_id for r in vector_topk.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [2, 1]
 
 
+def test_topk_lengths_and_large_numbers(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0]), (3, [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in vector_topk.top_k(v, v.where("vec_id = 0")).collect()} == {1, 3}
+    for big in (1e17, 1e9):  # a component, a score beyond 64 bits
+        w = spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception):
+            vector_topk.top_k(w, w.where("vec_id = 0")).collect()
+
+
 def test_leaks_small(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(50)]
