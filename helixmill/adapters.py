@@ -1,54 +1,49 @@
 """Peptide-like views over the driver's tables; one SQL text for Spark and DuckDB.
 
-``[g]`` is empty in Spark and ``, 'g'`` in DuckDB, whose regexp_replace else replaces one match. ``[p]``
-is the view's cleaned text (``CLEANED``), a subquery in DuckDB and a table held once computed in Spark.
+Sequences are the residue letters of a whole text, cut into consecutive pieces (``PIECES``): a row a piece, none for
+a text without residue letters. ``[p]`` stands for them. Keys are the text's id times 2^24 plus the piece's number.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.functions.barrier import held
-
-CLEANED = {
-    "samples": """select doc_id, substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
-  cast(case when doc_id % 2 = 0 then 3 + length(text) % 4 else 12 + length(text) % 25 end as int)) as pep from {documents}""",
-    "amp": """select doc_id, n_chars, substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
-  cast(case when doc_id % 2 = 0 then 3 + length(text) % 4 else 12 + length(text) % 25 end as int)) as pep from {documents} where doc_id % 7 < 2""",
-    "candidates": "select doc_id, regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]) as letters from {documents}",
+# view: table, columns kept, letters a piece
+PIECES = {
+    "samples": ("documents", "doc_id", "case when doc_id % 9 = 0 then 4 else 12 + length(text) % 25 end"),
+    "amp": ("documents", "doc_id, n_chars", "12 + (length(text) + doc_id % 3) % 25"),
+    "non_amp": ("benchmark", "item_id", "6 + item_id % 20"),
+    "candidates": ("documents", "doc_id", "18"),
 }
 VIEWS = {
     "samples": """
-select doc_id as sample_id, cast(doc_id % 8 as int) as config_id, pep,
-  case when doc_id % 11 = 0 then '<nblank><SOS>' || pep || '<MASK><EOS><cblank>'
-       when doc_id % 13 = 0 then '<nblank><SOS>' || pep
-       when doc_id % 3 = 0 then '<nblank><SOS>' || pep || '<EOS><AMD>'
+select doc_id * 16777216 + n as sample_id, cast(doc_id % 8 as int) as config_id, pep,
+  case when (doc_id + n) % 11 = 0 then '<nblank><SOS>' || pep || '<MASK><EOS><cblank>'
+       when (doc_id + n) % 13 = 0 then '<nblank><SOS>' || pep
+       when (doc_id + n) % 3 = 0 then '<nblank><SOS>' || pep || '<EOS><AMD>'
        else '<nblank><SOS>' || pep || '<EOS><cblank>' end as generated_sequence,
-  case doc_id % 4 when 0 then 'True' when 1 then ' false' when 2 then '1' else 'TRUE ' end as flag_text
+  case (doc_id + n) % 4 when 0 then 'True' when 1 then ' false' when 2 then '1' else 'TRUE ' end as flag_text
 from [p] p
 """,
     "amp": """
-select doc_id as peptide_id,
-  case doc_id % 6 when 0 then 'escherichia coli' when 1 then 'pseudomonas aeruginosa'
+select doc_id * 16777216 + n as peptide_id,
+  case (doc_id + n) % 6 when 0 then 'escherichia coli' when 1 then 'pseudomonas aeruginosa'
     when 2 then 'klebsiella pneumoniae' when 3 then 'staphylococcus aureus'
     when 4 then 'bacillus subtilis' else 'staphylococcus epidermidis' end as species,
-  '<nblank><SOS>' || pep || case when doc_id % 3 = 0 then '<EOS><AMD>' else '<EOS><cblank>' end as modified_sequence,
-  case doc_id % 5 when 0 then '[''GRAM-'']' when 1 then '[''GRAM+'', ''GRAM-'']' when 2 then '[''FUNGUS'']'
+  '<nblank><SOS>' || pep || case when (doc_id + n) % 3 = 0 then '<EOS><AMD>' else '<EOS><cblank>' end as modified_sequence,
+  case (doc_id + n) % 5 when 0 then '[''GRAM-'']' when 1 then '[''GRAM+'', ''GRAM-'']' when 2 then '[''FUNGUS'']'
     when 3 then '[''MAMMALIAN CELL'', ''OTHER'']' else '[]' end as target_groups_text,
-  case doc_id % 4 when 0 then '[''LIPID BILAYER'']' when 1 then '[''DNA / RNA'', ''OTHER'']'
+  case (doc_id + n) % 4 when 0 then '[''LIPID BILAYER'']' when 1 then '[''DNA / RNA'', ''OTHER'']'
     when 2 then '[''MEMBRANE PROTEIN'', ''CYTOPLASMIC PROTEIN'']' else '[]' end as target_objects_text,
-  cast(n_chars % 997 + 1 as double) / 7 + cast(doc_id as double) / 1000 as mic
+  cast((n_chars + 31 * n) % 997 + 1 as double) / 7 + cast(doc_id as double) / 1000 as mic
 from [p] p
 """,
     "non_amp": """
-select item_id as non_id,
-  substr(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''[g]), 1,
-    cast(6 + item_id % 20 as int)) as sequence
-from {benchmark}
+select item_id * 16777216 + n as non_id, pep as sequence from [p] p
 """,
     "candidates": """
-select d.doc_id as item_id, cast(k.r_regionkey as int) as k,
-  '<nblank><SOS>' || substr(d.letters, cast(1 + k.r_regionkey * 9 as int), 18) || '<EOS><cblank>' as candidate,
-  cast(14 + d.doc_id % 22 as int) as length
-from [p] d cross join {region} k
+select doc_id * 16777216 + cast(floor(n / 5) as bigint) as item_id, cast(n % 5 as int) as k,
+  '<nblank><SOS>' || pep || '<EOS><cblank>' as candidate,
+  cast(14 + (doc_id + cast(floor(n / 5) as bigint)) % 22 as int) as length
+from [p] p
 """,
     "grid_summary": """
 select cast(g as int) as config_id, cast(floor(g / 64) as double) as species_scale,
@@ -82,20 +77,24 @@ from (select e.event_id as item_id, cast(p.r_regionkey as int) as pass, cast(t.n
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def _sql(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
-    sql = sql.replace("[g]", "")
-    return spark.sql(sql, **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql and t not in given})
+def _pieces(name: str, every: str, generate: str) -> str:
+    """The view's pieces; ``every`` makes a replacement global, ``generate`` turns the array ``a`` into ``n`` and ``pep``."""
+    table, keys, width = PIECES[name]
+    letters = f"regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''{every})"
+    return f"(select {keys}, {generate} from (select {keys}, regexp_extract_all({letters}, concat('.{{{{1,', {width}, '}}}}'), 0) as a from {{{table}}}) t)"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
-    """The view over ``sf_dir``, or over the tables given by name."""
-    if name not in CLEANED:
-        return _sql(spark, sf_dir, VIEWS[name], **given)
-    cleaned = held(_sql(spark, sf_dir, CLEANED[name], **given))
-    return _sql(spark, sf_dir, VIEWS[name].replace("[p]", "{cleaned}"), cleaned=cleaned, **{t: d for t, d in given.items() if "{" + t + "}" in VIEWS[name]})
+    """The view over ``sf_dir``, or over the tables given by name.
+
+    A long text is cut in one pass, and only its id travels with the pieces.
+    """
+    sql = VIEWS[name].replace("[p]", _pieces(name, "", "posexplode(a) as (n, pep)") if name in PIECES else "")
+    return spark.sql(sql, **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql and t not in given})
 
 
 def oracle(*names: str) -> str:
     """The views as common table expressions for DuckDB."""
-    each = {n: VIEWS[n].replace("[p]", f"({CLEANED.get(n, '')})").replace("[g]", ", 'g'").format(**{t: t for t in TABLES}) for n in names}
+    cut = "generate_subscripts(a, 1) - 1 as n, unnest(a) as pep"
+    each = {n: VIEWS[n].replace("[p]", _pieces(n, ", 'g'", cut) if n in PIECES else "").format(**{t: t for t in TABLES}) for n in names}
     return "with " + ",\n".join(f"{n} as ({sql})" for n, sql in each.items())

@@ -212,7 +212,10 @@ def _(spark, d):
     return encoded(spark, d).select("peptide_id", text("ids").alias("ids"))
 
 
-@query("one_hot_long", ENCODED + " select peptide_id, unnest(range(0, 68)) as pos, unnest(ids) as token_id from enc")
+ONE_HOT = ENCODED + " select peptide_id, unnest(range(0, 68)) as pos, unnest(ids) as token_id from enc"  # 68 rows a peptide: compared on a small table
+
+
+@query("one_hot_long")
 def _(spark, d):
     return vocabulary.one_hot_long(encoded(spark, d), "peptide_id").select("peptide_id", F.col("pos").cast("long").alias("pos"), "token_id")
 
