@@ -84,13 +84,22 @@ def _pieces(name: str, every: str, generate: str) -> str:
     return f"(select {keys}, {generate} from (select {keys}, regexp_extract_all({letters}, concat('.{{{{1,', {width}, '}}}}'), 0) as a from {{{table}}}) t)"
 
 
+def _table(spark: SparkSession, path: str, spread: bool) -> DataFrame:
+    """The table at ``path``; with ``spread``, one that is less than a full partition a core is dealt out over the
+    cores first, as a small file is often a single row group, which is one task's. Larger tables aren't shuffled."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = spread and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * full
+    return df.repartition(cores) if small else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
     """The view over ``sf_dir``, or over the tables given by name.
 
     A long text is cut in one pass, and only its id travels with the pieces.
     """
     sql = VIEWS[name].replace("[p]", _pieces(name, "", "posexplode(a) as (n, pep)") if name in PIECES else "")
-    return spark.sql(sql, **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql and t not in given})
+    return spark.sql(sql, **given, **{t: _table(spark, f"{sf_dir}/{t}.parquet", name in PIECES) for t in TABLES if "{" + t + "}" in sql and t not in given})
 
 
 def oracle(*names: str) -> str:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.constants import MAX_LENGTH, SPECIAL_TOKENS
+from helixmill.functions.barrier import held
 from helixmill.functions.sequences import tokenize
 
 
@@ -32,12 +33,12 @@ def _vocab_map(vocab: DataFrame, inverse: bool = False) -> DataFrame:
 
 def encode(df: DataFrame, vocab: DataFrame, col: str, max_length: int = MAX_LENGTH, on_error: str = "raise") -> DataFrame:
     """Adds ``ids``, padded with 0. Unknown tokens and long texts raise, or with 'reject' give NULL ids."""
-    d = df.crossJoin(_vocab_map(vocab)).withColumn("_t", tokenize(F.col(col)))
-    ids = F.transform("_t", lambda x: F.try_element_at("_vocab", x))
-    good = (F.size("_t") <= max_length) & F.forall(ids, lambda x: x.isNotNull())
-    padded = F.concat(ids, F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - F.size("_t"), F.lit(0))))
+    d = held(df.withColumn("_t", tokenize(F.col(col)))).crossJoin(_vocab_map(vocab))
+    d = held(d.withColumn("_ids", F.transform("_t", lambda x: F.try_element_at("_vocab", x))).drop("_vocab"))
+    good = (F.size("_t") <= max_length) & F.forall("_ids", lambda x: x.isNotNull())
+    padded = F.concat("_ids", F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - F.size("_t"), F.lit(0))))
     bad = F.raise_error(F.concat(F.lit("unknown token or too long: "), F.col(col))).cast("array<int>") if on_error == "raise" else F.lit(None).cast("array<int>")
-    return d.withColumn("ids", F.when(good, padded).otherwise(bad)).drop("_t", "_vocab")
+    return d.withColumn("ids", F.when(good, padded).otherwise(bad)).drop("_t", "_ids")
 
 
 def one_hot_long(df: DataFrame, key: str) -> DataFrame:
