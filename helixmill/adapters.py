@@ -98,7 +98,8 @@ def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> Dat
 
     A long text is cut in one pass, and only its id travels with the pieces.
     """
-    sql = VIEWS[name].replace("[p]", _pieces(name, "", "posexplode(a) as (n, pep)") if name in PIECES else "")
+    # the outer form, since Spark infers filters from the inner one and computes the array again in each of them
+    sql = VIEWS[name].replace("[p]", "(select * from " + _pieces(name, "", "posexplode_outer(a) as (n, pep)") + " o where n is not null)" if name in PIECES else "")
     return spark.sql(sql, **given, **{t: _table(spark, f"{sf_dir}/{t}.parquet", name in PIECES) for t in TABLES if "{" + t + "}" in sql and t not in given})
 
 
