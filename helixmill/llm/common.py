@@ -164,13 +164,13 @@ def blobs(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) if x.is_valid else np.zeros(0, dtype) for x in column]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``; words never cross rows."""
+def words_of(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``, or run of ``letters`` (a flag a byte); words never cross rows."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if letters is None else letters[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.llm import (
-    benchmark_leaks, html_text, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, training_order, vector_topk,
+    ball_codes, benchmark_leaks, exact_dedup, html_text, jaccard_join, line_dedup, packing, quality, source_divergence, suffix_dedup, toxicity, training_order, vector_topk,
 )
 
 
@@ -23,8 +23,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_leaks": benchmark_leaks.query,
         "op9_packing": packing.query,
         "op10_jaccard_join": jaccard_join.query,
+        "op11_exact_dedup": exact_dedup.query,
+        "op12_source_divergence": source_divergence.query,
+        "op13_ball_codes": ball_codes.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_vector_topk": vector_topk.ORACLE_SQL, "op8_benchmark_leaks": benchmark_leaks.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {
+        "op7_vector_topk": vector_topk.ORACLE_SQL,
+        "op8_benchmark_leaks": benchmark_leaks.ORACLE_SQL,
+        "op10_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_source_divergence": source_divergence.ORACLE_SQL,
+        "op13_ball_codes": ball_codes.ORACLE_SQL,
+    }
