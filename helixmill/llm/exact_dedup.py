@@ -155,7 +155,7 @@ def copy_groups(
                 yield from _table(_pieces(run % fan**rounds, run, 1, fan, rounds, words(digests[kept]), digests[kept], present[kept], ids[kept], counts), PIECE).to_batches()
 
     def climb(level):
-        def merge(key, table: pa.Table) -> pa.Table:
+        def merge(key, table):
             _, _, key_, digests, present, ids, counts = _load(table)
             _, _, _, kept, total = merge_runs(key_, present, ids, counts)
             node = key[0].as_py()
