@@ -181,7 +181,7 @@ def _kept_terms(counts: DataFrame, min_docs: int) -> DataFrame:
 
 
 def divergence(
-    docs: DataFrame, min_docs: int = 30, top: int = 50, block_terms: int = 1 << 16, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
+    docs: DataFrame, min_docs: int = 30, top: int = 50, block_terms: int = 1 << 13, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source's words are from every other source of its language, and by which terms from the language."""
     counts = C.materialize(term_counts(docs, C.named(text_col), C.named(lang_col), C.named(source_col)), "term-counts")
