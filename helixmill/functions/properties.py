@@ -26,19 +26,31 @@ def _scale(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def hmoment(s: Column, angle: float, need_cysteines: bool = False) -> Column:
-    """Mean hydrophobic moment at ``angle`` degrees a residue; residues count from 1."""
+def hydrophobicity(s: Column) -> Column:
+    """Each residue's consensus hydrophobicity, 0 for other signs; looked up by the sign's code."""
+    by_code = F.array(*[F.lit(K.EISENBERG.get(chr(code), 0.0)) for code in range(128)])
+    return F.transform(residues(s), lambda c: F.when(F.ascii(c) < 128, F.get(by_code, F.ascii(c))).otherwise(0.0))
+
+
+def moment_of(values: Column, angle: float) -> Column:
+    """Mean moment of ``hydrophobicity`` at ``angle`` degrees a residue; residues count from 1. 0 for none."""
     delta = math.radians(angle)
-    scale = _scale(K.EISENBERG)
-    letters = residues(s)
 
     def total(wave):
-        terms = F.transform(letters, lambda c, i: F.coalesce(F.try_element_at(scale, c), F.lit(0.0)) * wave(F.lit(delta) * (i + 1)))
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+        return F.aggregate(F.transform(values, lambda v, i: v * wave(F.lit(delta) * (i + 1))), F.lit(0.0), lambda a, x: a + x)
+
+    return F.when(F.size(values) > 0, F.sqrt(F.pow(total(F.cos), F.lit(2.0)) + F.pow(total(F.sin), F.lit(2.0))) / F.size(values)).otherwise(0.0)
 
-    value = F.sqrt(F.pow(total(F.cos), F.lit(2.0)) + F.pow(total(F.sin), F.lit(2.0))) / F.length(s)
-    empty = _none(s) | (count_of(s, "C") < 2) if need_cysteines else _none(s)
-    return F.when(empty, 0.0).otherwise(value)
+
+def few_cysteines(s: Column) -> Column:
+    """Fewer than the two that a hairpin's bridge needs."""
+    return count_of(s, "C") < 2
+
+
+def hmoment(s: Column, angle: float, need_cysteines: bool = False) -> Column:
+    """Mean hydrophobic moment of a text; 0 for an empty one, and with ``need_cysteines`` for one with fewer than two."""
+    empty = _none(s) | few_cysteines(s) if need_cysteines else _none(s)
+    return F.when(empty, 0.0).otherwise(moment_of(hydrophobicity(s), angle))
 
 
 def scale_mean(s: Column, values: dict[str, float]) -> Column:

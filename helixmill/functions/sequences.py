@@ -10,8 +10,9 @@ VALID = rf"\A[{L_RESIDUES}{D_RESIDUES}]+\z"
 
 def tokenize(s: Column) -> Column:
     """Characters and ``<...>`` tokens; a stray ``>`` and an unterminated tail are dropped."""
-    found = F.regexp_extract_all(s, F.lit(r"<[^>]*>|<[^>]*\z|[^<>]"), F.lit(0))
-    return F.filter(found, lambda x: ~(x.startswith("<") & ~x.endswith(">")))
+    open_tail = F.contains(F.substring_index(s, ">", -1), F.lit("<"))
+    whole = F.when(open_tail, F.regexp_replace(s, r"<[^>]*\z", "")).otherwise(s)
+    return F.regexp_extract_all(whole, F.lit(r"<[^>]*>|[^<>]"), F.lit(0))
 
 
 def frame(s: Column) -> Column:

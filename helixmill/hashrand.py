@@ -13,6 +13,23 @@ def uniform(seed, *keys) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def draws(prefix: Column, n: Column) -> Column:
+    """Digests with ``n`` draws of 32 bits, four a digest: draw i is the (i mod 4)-th eight hex digits of md5(prefix || i div 4)."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda b: F.md5(F.concat(prefix, b.cast("string")).cast("binary")))
+    return F.when(n > 0, blocks).otherwise(F.array().cast("array<string>"))
+
+
+def draw_below(digests: Column, i: Column, bar: Column) -> Column:
+    """Whether draw ``i`` of ``draws`` lies below a chance, given as ``bar_of`` that chance. Fixed-width hex digits order as numbers do."""
+    return F.substring(F.get(digests, F.floor(i / 4).cast("int")), (i % 4) * 8 + 1, F.lit(8)) < bar
+
+
+def bar_of(chance: Column) -> Column:
+    """The least 32-bit draw that isn't below ``chance``, as eight hex digits; ``g`` if there is none."""
+    least = F.ceil(chance * 4294967296.0)
+    return F.when(least >= 4294967296, "g").otherwise(F.lower(F.lpad(F.hex(F.greatest(least, F.lit(0))), 8, "0")))
+
+
 def hash_rank(df: DataFrame, seed, id_col: str, within: str | None = None) -> DataFrame:
     """Adds ``rank`` from 0 in the order of (md5(seed[:within]:id), id), without one task that sees all rows.
 

@@ -3,17 +3,23 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.hashrand import uniform
+from helixmill.functions.barrier import held
+from helixmill.hashrand import bar_of, draw_below, draws, uniform
 
 EPS = 1e-3
 
 
 def _mask(df: DataFrame, chance: Column, mask_id: int, pad_id: int | None, seed, id_col: str) -> DataFrame:
+    """Position i is masked if its draw is below ``chance``. A digest serves four positions; pads cost none."""
+    last = F.size("ids") if pad_id is None else F.coalesce(F.array_max(F.transform("ids", lambda x, i: F.when(x != pad_id, i + 1).otherwise(0))), F.lit(0))
+    d = held(df.withColumns({"_bar": bar_of(chance), "_draws": draws(F.concat(F.lit(f"{seed}:pos:"), F.col(id_col).cast("string"), F.lit(":")), last)}))
+
     def one(x, i):
-        hit = uniform(seed, F.lit("pos"), id_col, i) < chance
-        return F.when(hit if pad_id is None else hit & (x != pad_id), F.lit(mask_id)).otherwise(x)
+        hit = draw_below(F.col("_draws"), i, F.col("_bar"))
+        return F.when(hit if pad_id is None else (x != pad_id) & hit, F.lit(mask_id)).otherwise(x)
 
-    return df.withColumn("masked", F.transform("ids", one)).withColumn("is_masked", F.transform("masked", lambda x: x == mask_id))
+    d = held(d.withColumn("masked", F.transform("ids", one)).drop("_bar", "_draws"))
+    return d.withColumn("is_masked", F.transform("masked", lambda x: x == mask_id))
 
 
 def mask_tokens(df: DataFrame, mask_id: int, pad_id: int, seed, id_col: str) -> DataFrame:
@@ -49,21 +55,32 @@ def condition_dropout(df: DataFrame, p: float, seed, id_col: str) -> DataFrame:
 def masked_nll(scores: DataFrame, targets: DataFrame, exclude: list[int], pad_id: int) -> DataFrame:
     """One row: mean negative log-likelihood over masked positions whose target isn't a pad; 0 with none.
 
-    ``scores`` (item_id, pos, token_id, score); ``targets`` (item_id, pos, target, is_masked).
+    ``scores`` (item_id, pos, token_id, score); ``targets`` (item_id, pos, target, is_masked), one row a position.
     """
     losses = _losses(scores, targets.where(F.col("is_masked") & (F.col("target") != pad_id)), exclude)
     return losses.agg(F.coalesce(F.sum("loss") / F.nullif(F.count("loss"), F.lit(0)), F.lit(0.0)).alias("nll"), F.count("loss").alias("n_positions"))
 
 
+def log_sum_exp(scores: Column) -> Column:
+    """ln of the sum of exp over an array, by its largest value; NULL values don't count, and an array without others gives NULL."""
+    top = F.array_max(scores)
+    return top + F.log(F.aggregate(scores, F.lit(0.0), lambda z, x: z + F.coalesce(F.exp(x - top), F.lit(0.0))))
+
+
 def _losses(scores: DataFrame, targets: DataFrame, exclude: list[int]) -> DataFrame:
-    """(item_id, pos, loss): negative log-likelihood of each target among the tokens that aren't excluded."""
+    """(item_id, pos, loss): negative log-likelihood of each target among the tokens that aren't excluded.
+
+    Scores and targets are one table that is grouped once, so there is no join: a position's scores
+    (a vocabulary at most) meet its target in one list. Positions without scores or target have no row.
+    """
     usable = scores.where(~F.col("token_id").isin(*exclude)) if exclude else scores
-    chosen = usable.join(targets, ["item_id", "pos"])
-    top = chosen.groupBy("item_id", "pos").agg(F.max("score").alias("top"))
-    sums = chosen.join(top, ["item_id", "pos"]).groupBy("item_id", "pos").agg(
-        F.max("top").alias("top"), F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"), F.max(F.when(F.col("token_id") == F.col("target"), F.col("score"))).alias("hit")
-    )
-    return sums.select("item_id", "pos", (F.col("top") + F.log("z") - F.col("hit")).alias("loss"))
+    score = F.struct("token_id", F.col("score").cast("double").alias("score"))
+    none = F.lit(None).cast("struct<token_id: int, score: double>")
+    rows = usable.select("item_id", "pos", score.cast("struct<token_id: int, score: double>").alias("s"), F.lit(None).cast("int").alias("t"))
+    rows = rows.unionByName(targets.select("item_id", "pos", none.alias("s"), F.col("target").cast("int").alias("t")))
+    one = rows.groupBy("item_id", "pos").agg(F.collect_list("s").alias("s"), F.max("t").alias("target")).where("target is not null and size(s) > 0")
+    hit = F.array_max(F.transform(F.filter("s", lambda x: x["token_id"] == F.col("target")), lambda x: x["score"]))
+    return held(one).select("item_id", "pos", (log_sum_exp(F.transform("s", lambda x: x["score"])) - hit).alias("loss"))
 
 
 def position_nll(scores: DataFrame, targets: DataFrame, mask_id: int, weight: float = 1.5) -> DataFrame:

@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 from helixmill.hashrand import uniform
 
 
-def blend_scores(df: DataFrame, scales: dict[int, float], temperature: float = 1.0) -> DataFrame:
-    """u + sum of s_k (l_k - u) over the conditional passes k, by temperature; pass 0 is u. One aggregation, no join."""
+def blend_scores(df: DataFrame, scales: dict[int, float], temperature: float = 1.0, by_position: bool = False) -> DataFrame:
+    """u + sum of s_k (l_k - u) over the conditional passes k, by temperature; pass 0 is u. One aggregation, no join.
+
+    ``by_position``: deal the rows out by position first, so that what a position needs next (softmax, a draw) isn't shuffled again.
+    """
+    if by_position:
+        df = df.repartition("item_id", "pos")
     u = F.max(F.when(F.col("pass") == 0, F.col("score")))
     total = u
     for k, s in scales.items():

@@ -26,19 +26,35 @@ def resolve_vocab(fresh: DataFrame, saved: DataFrame) -> DataFrame:
     return both.join(F.broadcast(missing), F.col("s") == (F.col("missing") == 0)).select("token", "token_id")
 
 
-def _vocab_map(vocab: DataFrame, inverse: bool = False) -> DataFrame:
-    pair = F.struct("token_id", "token") if inverse else F.struct("token", "token_id")
-    return F.broadcast(vocab.agg(F.map_from_entries(F.collect_list(pair)).alias("_vocab")))
+LARGEST = 1 << 16  # tokens that are broadcast; more are an error
+
+
+def _broadcast(vocab: DataFrame, *columns) -> DataFrame:
+    """One row of ``columns`` over the vocabulary, whose size is checked before it is broadcast."""
+    fits = F.assert_true(F.count("*") <= LARGEST, F.lit(f"a vocabulary of more than {LARGEST} tokens can't be broadcast"))
+    row = vocab.agg(fits.alias("_fits"), *columns)
+    return F.broadcast(row.where("_fits is null").drop("_fits"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, col: str, max_length: int = MAX_LENGTH, on_error: str = "raise") -> DataFrame:
-    """Adds ``ids``, padded with 0. Unknown tokens and long texts raise, or with 'reject' give NULL ids."""
-    d = held(df.withColumn("_t", tokenize(F.col(col)))).crossJoin(_vocab_map(vocab))
-    d = held(d.withColumn("_ids", F.transform("_t", lambda x: F.try_element_at("_vocab", x))).drop("_vocab"))
+    """Adds ``ids``, padded with 0. Unknown tokens and long texts raise, or with 'reject' give NULL ids.
+
+    A token of one ASCII sign is looked up by its code, others by search among those that aren't.
+    """
+    plain = (F.length("token") == 1) & (F.ascii("token") < 128)
+    known = _broadcast(
+        vocab,
+        F.map_from_entries(F.collect_list(F.when(plain, F.struct(F.ascii("token"), "token_id")))).alias("_by_code"),
+        F.map_from_entries(F.collect_list(F.when(~plain, F.struct("token", "token_id")))).alias("_other"),
+    )
+    known = F.broadcast(known.withColumn("_by_code", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda c: F.try_element_at("_by_code", c))))
+    d = held(df.withColumn("_t", tokenize(F.col(col)))).crossJoin(known)
+    one = lambda x: F.when((F.length(x) == 1) & (F.ascii(x) < 128), F.get("_by_code", F.ascii(x))).otherwise(F.try_element_at("_other", x))
+    d = held(d.withColumn("_ids", F.transform("_t", one)).drop("_by_code", "_other"))
     good = (F.size("_t") <= max_length) & F.forall("_ids", lambda x: x.isNotNull())
     padded = F.concat("_ids", F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - F.size("_t"), F.lit(0))))
     bad = F.raise_error(F.concat(F.lit("unknown token or too long: "), F.col(col))).cast("array<int>") if on_error == "raise" else F.lit(None).cast("array<int>")
-    return d.withColumn("ids", F.when(good, padded).otherwise(bad)).drop("_t", "_ids")
+    return held(d.withColumn("ids", F.when(good, padded).otherwise(bad)).drop("_t", "_ids"))
 
 
 def one_hot_long(df: DataFrame, key: str) -> DataFrame:
@@ -47,7 +63,7 @@ def one_hot_long(df: DataFrame, key: str) -> DataFrame:
 
 def decode_ids(df: DataFrame, vocab: DataFrame, length_col: str | None = None) -> DataFrame:
     """Adds ``decoded``: the first ids' tokens, ``?`` for an unknown id."""
-    d = df.crossJoin(_vocab_map(vocab, inverse=True))
+    d = df.crossJoin(_broadcast(vocab, F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_vocab")))
     ids = F.slice("ids", F.lit(1), F.col(length_col)) if length_col else F.col("ids")
     return d.withColumn("decoded", F.array_join(F.transform(ids, lambda x: F.coalesce(F.try_element_at("_vocab", x), F.lit("?"))), "")).drop("_vocab")
 

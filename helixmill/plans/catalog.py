@@ -12,7 +12,9 @@ from helixmill import constants as K
 from helixmill.adapters import VIEWS, oracle, view
 from helixmill.functions import properties as P
 from helixmill.functions import sequences as S
-from helixmill.operators import batching, composition, conditions, corruption, evaluation, ranking, scores, vocabulary
+from helixmill.hashrand import uniform
+from helixmill.operators import batching, composition, conditions, corruption, evaluation, membership, ranking, scores, vocabulary
+from helixmill.session import scratch
 
 QUERIES, ORACLES = {}, {}
 L, ALL = K.L_RESIDUES, K.L_RESIDUES + K.D_RESIDUES
@@ -48,6 +50,11 @@ def u(seed, *keys) -> str:
     return f"(cast('0x' || substr(md5({joined}), 1, 8) as bigint) / 4294967296.0)"
 
 
+def u4(seed, key, i) -> str:
+    """Draw ``i`` of a row: the (i mod 4)-th 32 bits of the digest of block i div 4."""
+    return f"(cast('0x' || substr(md5('{seed}:pos:' || cast({key} as varchar) || ':' || cast(({i}) // 4 as varchar)), cast(({i}) % 4 * 8 + 1 as bigint), 8) as bigint) / 4294967296.0)"
+
+
 def h(seed, *keys) -> str:
     return "md5(" + " || ':' || ".join([f"'{seed}'", *[f"cast({k} as varchar)" for k in keys]]) + ")"
 
@@ -119,6 +126,14 @@ def judged(spark, d) -> DataFrame:
     return evaluation.judged(view(spark, d, "samples"), training(spark, d))
 
 
+def flagged(spark, d) -> DataFrame:
+    return evaluation.flagged(view(spark, d, "samples"), training(spark, d))
+
+
+def by_payload(spark, d) -> DataFrame:
+    return evaluation.by_payload(view(spark, d, "samples"), training(spark, d))
+
+
 # ---------------------------------------------------------------- sequences
 
 @query("frame_sequence", oracle("non_amp") + " select non_id, '<nblank><SOS>' || sequence || '<EOS><cblank>' as framed from non_amp")
@@ -212,10 +227,7 @@ def _(spark, d):
     return encoded(spark, d).select("peptide_id", text("ids").alias("ids"))
 
 
-ONE_HOT = ENCODED + " select peptide_id, unnest(range(0, 68)) as pos, unnest(ids) as token_id from enc"  # 68 rows a peptide: compared on a small table
-
-
-@query("one_hot_long")
+@query("one_hot_long", ENCODED + " select peptide_id, unnest(range(0, 68)) as pos, unnest(ids) as token_id from enc")
 def _(spark, d):
     return vocabulary.one_hot_long(encoded(spark, d), "peptide_id").select("peptide_id", F.col("pos").cast("long").alias("pos"), "token_id")
 
@@ -354,7 +366,7 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- corruption
 
-@query("mask_tokens", ENCODED + f", k as (select peptide_id, ids, {u('3', chr(39) + 't' + chr(39), 'peptide_id')} as t from enc) select peptide_id, round(t, 6) as t, array_to_string(list_transform(range(1, 69), lambda i: case when ids[i] <> 0 and {u('3', chr(39) + 'pos' + chr(39), 'peptide_id', 'i - 1')} < 1 - t then 48 else ids[i] end), ',') as masked from k")
+@query("mask_tokens", ENCODED + f", k as (select peptide_id, ids, {u('3', chr(39) + 't' + chr(39), 'peptide_id')} as t from enc) select peptide_id, round(t, 6) as t, array_to_string(list_transform(range(1, 69), lambda i: case when ids[i] <> 0 and {u4('3', 'peptide_id', 'i - 1')} < 1 - t then 48 else ids[i] end), ',') as masked from k")
 def _(spark, d):
     m = corruption.mask_tokens(encoded(spark, d), 48, 0, 3, "peptide_id")
     return m.select("peptide_id", r6("t").alias("t"), text("masked").alias("masked"))
@@ -362,7 +374,7 @@ def _(spark, d):
 
 @query("mask_loglinear", ENCODED + f""", k as (select peptide_id, ids, {u('4', "'t'", 'peptide_id')} as t from enc)
 select peptide_id, round(-ln(1 - 0.999 * t), 6) as sigma, round(0.999 / (1 - 0.999 * t), 6) as rate,
-array_to_string(list_transform(range(1, 69), lambda i: case when {u('4', "'pos'", 'peptide_id', 'i - 1')} < 0.999 * t then 48 else ids[i] end), ',') as masked from k""")
+array_to_string(list_transform(range(1, 69), lambda i: case when {u4('4', 'peptide_id', 'i - 1')} < 1 - exp(-(-ln(1 - 0.999 * t))) then 48 else ids[i] end), ',') as masked from k""")
 def _(spark, d):
     m = corruption.mask_loglinear(encoded(spark, d), 48, 4, "peptide_id")
     return m.select("peptide_id", r6("sigma").alias("sigma"), r6("rate").alias("rate"), text("masked").alias("masked"))
@@ -378,15 +390,18 @@ def _(spark, d):
     return corruption.condition_dropout(view(spark, d, "samples"), 0.1, 8, "sample_id").select("sample_id", "drop_species", "drop_groups", "drop_mic")
 
 
+def _positions(spark, d) -> DataFrame:
+    """Every position once, without a shuffle: all have the first token of the first pass."""
+    return view(spark, d, "scores").where("pass = 0 and token_id = 0").select("item_id", "pos")
+
+
 @query("masked_nll", oracle("scores") + f""", t as (select distinct item_id, pos, cast((item_id + pos) % 4 as integer) as target, {u('9', 'item_id', 'pos')} < 0.5 as m from scores),
 x as (select item_id, pos, target, max(score) as top from scores join t using (item_id, pos) where pass = 0 and token_id not in (4, 0) and m and target <> 0 group by all),
 z as (select item_id, pos, any_value(top) + ln(sum(exp(score - top))) - max(case when token_id = target then score end) as loss from scores join x using (item_id, pos) where pass = 0 and token_id not in (4, 0) group by item_id, pos)
 select round(coalesce(avg(loss), 0), 6) as nll, count(loss) as n_positions from z""")
 def _(spark, d):
-    from helixmill.hashrand import uniform
-
     s = view(spark, d, "scores").where("pass = 0")
-    t = s.select("item_id", "pos").distinct().withColumns({"target": F.expr("cast((item_id + pos) % 4 as int)"), "is_masked": uniform(9, "item_id", "pos") < 0.5})
+    t = _positions(spark, d).withColumns({"target": F.expr("cast((item_id + pos) % 4 as int)"), "is_masked": uniform(9, "item_id", "pos") < 0.5})
     return corruption.masked_nll(s, t, [4, 0], 0).select(r6("nll").alias("nll"), "n_positions")
 
 
@@ -396,7 +411,7 @@ z as (select item_id, pos, any_value(top) + ln(sum(exp(score - top))) - max(case
 select round(avg(loss), 6) as nll, round(1.5 * avg(loss), 6) as total, count(loss) as n_positions from z""")
 def _(spark, d):
     s = view(spark, d, "scores").where("pass = 0")
-    t = s.select("item_id", "pos").distinct().withColumn("target", F.expr("cast((item_id + pos) % 4 as int)"))
+    t = _positions(spark, d).withColumn("target", F.expr("cast((item_id + pos) % 4 as int)"))
     return corruption.position_nll(s, t, 4).select(r6("nll").alias("nll"), r6("total").alias("total"), "n_positions")
 
 
@@ -404,7 +419,20 @@ def _(spark, d):
 
 @query("novelty_flag", JUDGED + " select sample_id, known from judged")
 def _(spark, d):
-    return judged(spark, d).select("sample_id", "known")
+    return flagged(spark, d).select("sample_id", "known")
+
+
+@query("novelty_by_sketch", JUDGED + " select sample_id, known from judged")
+def _(spark, d):
+    """The same answers, with payloads that a written sketch of both corpora rules out kept from the join."""
+    corpora = [batching.training_set(view(spark, d, "amp").select("modified_sequence"), None), batching.training_set(None, view(spark, d, "non_amp").select("sequence"))]
+    path = scratch(spark, "sketch")
+    shape = membership.shape_for(1 << 20)  # the keys it is planned for
+    for i, corpus in enumerate(corpora):  # the second is added to what the first has written
+        new = membership.build(corpus, "payload", shape)
+        membership.save(membership.merge(membership.load(spark, f"{path}/{i - 1}"), new) if i else new, f"{path}/{i}")
+    sketch = membership.load(spark, f"{path}/{len(corpora) - 1}")
+    return evaluation.flagged(view(spark, d, "samples"), training(spark, d), sketch).select("sample_id", "known")
 
 
 @query("novel_rows", JUDGED + " select sample_id, payload from s1 where payload not in (select payload from training)")
@@ -421,7 +449,7 @@ def _(spark, d):
 
 @query("valid_novel", JUDGED + " select sample_id, payload from judged where is_valid and not known")
 def _(spark, d):
-    return judged(spark, d).where("is_valid and not known").select("sample_id", "payload")
+    return flagged(spark, d).where("is_valid and not known").select("sample_id", "payload")
 
 
 @query("repeat_flag", JUDGED + " select sample_id, is_repeat from judged")
@@ -437,15 +465,16 @@ from (select config_id, count(*) as total_samples, count(*) filter (is_valid) as
 
 @query("run_rates", JUDGED + RATES.replace("[x]", "coalesce(round(100.0 * novel_count / nullif(valid_count, 0), 2), 0) as novelty_of_valid, "))
 def _(spark, d):
-    return evaluation.run_rates(judged(spark, d))
+    return evaluation.run_rates(by_payload(spark, d))
 
 
 @query("summary_row", JUDGED + f""", g as (select config_id, species_scale, groups_scale, mic_scale from ({VIEWS['grid_summary'].format(lineitem='lineitem')}) q), r as ({RATES.replace("[x]", "")})
-select r.config_id, species_scale, groups_scale, mic_scale, valid_count, novel_count, repeat_count, total_samples, printf('%.2f', success_rate) as success_rate,
-printf('%.2f', novelty_rate) as novelty_rate, printf('%.2f', repeat_rate) as repeat_rate, 'run-' || r.config_id || '.csv' as output_file from r join g using (config_id)""")
+select config_id, species_scale, groups_scale, mic_scale, coalesce(valid_count, 0) as valid_count, coalesce(novel_count, 0) as novel_count, coalesce(repeat_count, 0) as repeat_count,
+coalesce(total_samples, 0) as total_samples, printf('%.2f', coalesce(success_rate, 0)) as success_rate,
+printf('%.2f', coalesce(novelty_rate, 0)) as novelty_rate, printf('%.2f', coalesce(repeat_rate, 0)) as repeat_rate, 'run-' || g.config_id || '.csv' as output_file from r full join g using (config_id)""")
 def _(spark, d):
     settings = view(spark, d, "grid_summary").withColumn("output_file", F.format_string("run-%d.csv", "config_id"))
-    return evaluation.summary_row(evaluation.run_rates(judged(spark, d)), settings)
+    return evaluation.summary_row(evaluation.run_rates(by_payload(spark, d)), settings)
 
 
 @query("stream_run_rates", JUDGED + RATES.replace("[x]", ""))
@@ -463,13 +492,13 @@ SCORED = JUDGED + ", up as (select *, upper(payload) as s, is_valid and not know
 
 @query("score_samples", SCORED + " select sample_id, scored, " + ", ".join(f"round({n}, 9) as {n}" for n in SCORES) + " from scored")
 def _(spark, d):
-    return evaluation.score_samples(judged(spark, d)).select("sample_id", "scored", *[r9(n).alias(n) for n in SCORES])
+    return evaluation.score_samples(flagged(spark, d)).select("sample_id", "scored", *[r9(n).alias(n) for n in SCORES])
 
 
-@query("run_property_means", SCORED + " select r.config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from (select distinct cast(l_linenumber as integer) as config_id from lineitem) r left join scored s using (config_id) group by r.config_id")
+@query("run_property_means", SCORED + " select r.config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from (select distinct config_id from samples union select distinct cast(l_linenumber as integer) from lineitem) r left join scored s using (config_id) group by r.config_id")
 def _(spark, d):
     runs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").cast("int").alias("config_id"))
-    m = evaluation.run_property_means(evaluation.score_samples(judged(spark, d)), runs)
+    m = evaluation.run_property_means(evaluation.score_samples(by_payload(spark, d)), runs)
     return m.select("config_id", *[r9(f"mean_{n}").alias(f"mean_{n}") for n in SCORES])
 
 
@@ -592,13 +621,13 @@ blend as (select item_id, pos, token_id, (u + 1.5 * (a - u) + 1.0 * (g - u) + 2.
 soft as (select item_id, pos, token_id, exp(score - max(score) over w) / sum(exp(score - mx)) over w as p from (select *, max(score) over (partition by item_id, pos) as mx from blend where token_id <> 4) x window w as (partition by item_id, pos))"""
 
 
-def _blend(spark, d):
-    return scores.blend_scores(view(spark, d, "scores"), {1: 1.5, 2: 1.0, 3: 2.0}, 1.25)
+def _blend(spark, d, by_position=True):
+    return scores.blend_scores(view(spark, d, "scores"), {1: 1.5, 2: 1.0, 3: 2.0}, 1.25, by_position)
 
 
 @query("blend_scores", BLEND + " select item_id, pos, token_id, round(score, 6) as score from blend")
 def _(spark, d):
-    return _blend(spark, d).select("item_id", "pos", "token_id", r6("score").alias("score"))
+    return _blend(spark, d, False).select("item_id", "pos", "token_id", r6("score").alias("score"))
 
 
 @query("softmax_scores", BLEND + " select item_id, pos, token_id, round(p, 6) as p from soft")
@@ -613,7 +642,7 @@ def _(spark, d):
 
 def flagship(spark, d) -> DataFrame:
     """How every run did: rates and mean scores from one table of samples, in one aggregation."""
-    return evaluation.run_report(evaluation.score_samples(judged(spark, d)))
+    return evaluation.run_report(evaluation.score_samples(by_payload(spark, d)))
 
 
 @query("grid_report", SCORED + ", rates as (" + RATES.replace("[x]", "coalesce(round(100.0 * novel_count / nullif(valid_count, 0), 2), 0) as novelty_of_valid, ") + "), means as (select config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from scored group by config_id) select * from rates join means using (config_id)")

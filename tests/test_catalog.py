@@ -1,6 +1,5 @@
 """Every query of the library against DuckDB at the smallest scale."""
 
-import duckdb
 import pytest
 
 import oracle
@@ -19,11 +18,5 @@ def test_query(spark, con, name):
     oracle.compare(catalog.QUERIES[name](spark, SF), con, catalog.ORACLES[name])
 
 
-def test_one_hot_long(spark, tmp_path):
-    spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).write.parquet(f"{tmp_path}/parts")
-    duckdb.connect().execute(f"copy (from '{tmp_path}/parts/*.parquet') to '{tmp_path}/documents.parquet'")
-    oracle.compare(catalog.QUERIES["one_hot_long"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), catalog.ONE_HOT)
-
-
 def test_entry(spark):
     assert catalog.flagship(spark, SF).count() == 8

@@ -113,7 +113,7 @@ def test_cleaning_is_computed_once(spark):
 
     Samples are scanned twice where repeats are told: for the rows and for each payload's first place.
     """
-    for name, views in (("run_rates", 4), ("grid_report", 4), ("score_samples", 4), ("run_property_means", 4), ("aa_frequency", 3), ("best_of_k", 1)):
+    for name, views in (("run_rates", 3), ("grid_report", 3), ("score_samples", 3), ("run_property_means", 3), ("repeat_flag", 2), ("aa_frequency", 3), ("best_of_k", 1)):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_replace(text") == views, (name, plan.count("regexp_replace(text"))
 
@@ -168,3 +168,42 @@ def test_negative_conditions_by_hash(spark):
     assert len({c[:6].index(1.0) for c in rows}) == 6 and len({c[16:].index(1.0) for c in rows}) == 10
     again = conditions.negative_condition(d.repartition(3), "hash", 1, "id").orderBy("id").collect()
     assert [r.condition for r in again] == rows
+
+
+def test_draws_are_shared_and_even(spark):
+    """Four positions take one digest; each has its own 32 bits, and its chance holds."""
+    import hashlib
+
+    from helixmill.hashrand import bar_of, draw_below, draws
+
+    d = spark.range(300).select("id", draws(F.concat(F.lit("s:"), F.col("id").cast("string"), F.lit(":")), F.lit(10)).alias("d"))
+    for chance in (0.0, 0.3, 1.0):
+        got = {r.id: r.h for r in d.select("id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: draw_below(F.col("d"), i, bar_of(F.lit(chance)))).alias("h")).collect()}  # noqa: B023
+        for i, hits in got.items():
+            assert hits == [int(hashlib.md5(f"s:{i}:{k // 4}".encode()).hexdigest()[k % 4 * 8 :][:8], 16) / 2**32 < chance for k in range(10)]
+    assert d.select(F.max(F.size("d"))).first()[0] == 3
+    assert spark.range(1).select(F.size(draws(F.lit("x"), F.lit(0))).alias("n")).first().n == 0
+
+
+def test_vocabulary_that_is_too_large_is_an_error(spark, monkeypatch):
+    from helixmill.operators import vocabulary
+
+    d = spark.createDataFrame([("A<EOS>é",), ("",), ("A" * 70,)], "s string")
+    vocab = vocabulary.build_vocab(d.limit(1), "s")
+    ids = [r.ids for r in vocabulary.encode(d, vocab, "s", on_error="reject").collect()]
+    token = {r.token: r.token_id for r in vocab.collect()}
+    assert ids[0][:4] == [token["A"], token["<EOS>"], token["é"], 0] and ids[1] == [0] * 68 and ids[2] is None
+    monkeypatch.setattr(vocabulary, "LARGEST", 2)
+    with pytest.raises(Exception, match="can't be broadcast"):
+        vocabulary.encode(d, vocab, "s", on_error="reject").collect()
+
+
+def test_losses_take_one_shuffle(spark):
+    s = spark.createDataFrame([(1, 0, t, 800.0 * t) for t in range(4)] + [(1, 1, 2, 1.0), (2, 0, 1, -3.0), (2, 0, 2, None)], "item_id int, pos int, token_id int, score double")
+    t = spark.createDataFrame([(1, 0, 2, True), (1, 1, 3, True), (2, 0, 1, True), (3, 0, 1, True)], "item_id int, pos int, target int, is_masked boolean")
+    losses = {(r.item_id, r.pos): r.loss for r in corruption._losses(s, t, []).collect()}
+    assert losses == {(1, 0): pytest.approx(800.0), (1, 1): None, (2, 0): pytest.approx(0.0)}
+    plan = corruption._losses(s, t, [0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    plan = catalog.QUERIES["draw_category"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
