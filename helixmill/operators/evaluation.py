@@ -57,8 +57,10 @@ def known(samples: DataFrame, training: DataFrame) -> DataFrame:
 
 def flag_repeat(samples: DataFrame, run: str, order: str) -> DataFrame:
     """``is_repeat``: a valid payload that stood earlier in the run. First places are an aggregate, so no payload is a hot window."""
-    first = samples.where("is_valid").groupBy(run, "payload").agg(F.min(order).alias("_first"))
-    return samples.join(first, [run, "payload"], "left").withColumn("is_repeat", F.col("is_valid") & F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
+    first = samples.where("is_valid").groupBy(F.col(run).alias("_run"), F.col("payload").alias("_payload")).agg(F.min(order).alias("_first"))
+    same = F.col(run).eqNullSafe(F.col("_run")) & (F.col("payload") == F.col("_payload"))
+    repeat = F.col("is_valid") & F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
+    return samples.join(first, same, "left").withColumn("is_repeat", repeat).drop("_run", "_payload", "_first")
 
 
 def ratio(a: Column, b: Column) -> Column:
