@@ -111,7 +111,7 @@ def summary_row(rates: DataFrame, settings: DataFrame, run: str = "config_id", o
     rates = rates.select(F.col(run).alias("_run"), *SUMMARY[3:-1])
     both = settings.select(run, *SUMMARY[:3], "output_file", F.lit(True).alias("_set")).join(rates, F.col(run).eqNullSafe(F.col("_run")), "full")
     if on_missing == "raise":
-        lost = F.raise_error(F.concat(F.lit("settings or samples missing for run "), F.coalesce(run, "_run").cast("string"))).cast("long")
+        lost = F.raise_error(F.concat(F.lit("settings or samples missing for run "), F.coalesce(F.coalesce(run, "_run").cast("string"), F.lit("NULL")))).cast("long")
         both = both.withColumn("total_samples", F.when(F.col("_set") & F.col("total_samples").isNotNull(), F.col("total_samples")).otherwise(lost))
     return both.withColumns({run: F.coalesce(run, "_run"), **{c: F.coalesce(c, F.lit(0)) for c in counts}, **rounded}).select(run, *SUMMARY)
 
