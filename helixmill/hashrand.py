@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.session import scratch
+
 
 def digest(seed, *keys) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary"))
@@ -30,18 +32,33 @@ def bar_of(chance: Column) -> Column:
     return F.when(least >= 4294967296, "g").otherwise(F.lower(F.lpad(F.hex(F.greatest(least, F.lit(0))), 8, "0")))
 
 
-def hash_rank(df: DataFrame, seed, id_col: str, within: str | None = None) -> DataFrame:
+RANGE_ROWS = 50_000  # rows that one range holds on average
+
+
+def hash_rank(df: DataFrame, seed, id_col: str, within: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds ``rank`` from 0 in the order of (md5(seed[:within]:id), id), without one task that sees all rows.
 
-    Rows are numbered inside 4096 ranges of the hash; the ranges' counts, a table of that many rows
-    at most (per value of ``within``), give each range its first rank.
+    Rows are written with their hash and numbered inside ranges of it. Hashes are even, so the number of ranges, a power
+    of 16, follows from the row count and needs no sample. Prefix sums are taken in two levels, so the sums of any one
+    task are over at most 4096 ranges or over those of one of them.
     """
     keys = [within, id_col] if within else [id_col]
     group = [within] if within else []
-    d = df.withColumn("_h", digest(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
-    counts = d.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    path = scratch(df.sparkSession, "hashed")
+    hashed = df.withColumn("_h", digest(seed, *keys))
+    hashed.write.parquet(path)
+    d = df.sparkSession.read.schema(hashed.schema).parquet(path)
+    rows, digits = d.count(), 1
+    while 16**digits * range_rows < rows and digits < 8:
+        digits += 1
+    coarse = min(3, digits)
+    d = d.withColumn("_b", F.substring("_h", 1, digits))
+    counts = d.groupBy(*group, "_b").agg(F.count("*").alias("_n")).withColumn("_c", F.substring("_b", 1, coarse))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    fine = counts.withColumn("_within", F.coalesce(F.sum("_n").over(before(*group, "_c").orderBy("_b")), F.lit(0)))
+    above = counts.groupBy(*group, "_c").agg(F.sum("_n").alias("_m"))
+    above = above.select(*group, "_c", F.coalesce(F.sum("_m").over(before(*group).orderBy("_c")), F.lit(0)).alias("_above"))
+    first = fine.join(above, [*group, "_c"]).select(*group, "_b", (F.col("_within") + F.col("_above")).alias("_first"))
     inside = Window.partitionBy(*group, "_b").orderBy("_h", id_col)
     d = d.withColumn("_r", F.row_number().over(inside)).join(first, [*group, "_b"])
     return d.withColumn("rank", F.col("_first") + F.col("_r") - 1).drop("_h", "_b", "_r", "_first")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.constants import GROUPS, OBJECTS, SPECIES
+from helixmill.operators.order_statistics import quantiles
 
 
 def parse_list(text: Column) -> Column:
@@ -56,23 +57,29 @@ def decode_conditions(df: DataFrame, edges: Column) -> DataFrame:
     )
 
 
-def quantile_edges(df: DataFrame, col: str, q: int = 10, approximate: bool = False) -> DataFrame:
-    """One row, ``edges``: linear-interpolated quantiles, or approximate ones for unbounded inputs."""
-    steps = "array(" + ", ".join(f"{i}/{q}d" for i in range(q + 1)) + ")"
-    f = f"approx_percentile({col}, {steps}, 100000)" if approximate else f"percentile({col}, {steps})"
-    return df.agg(F.expr(f).alias("edges"))
+def quantile_edges(df: DataFrame, col: str, q: int = 10, approximate: bool = False) -> list[float] | None:
+    """The q + 1 linear-interpolated quantiles of ``col``, exact at any size (``order_statistics``); None without values.
+
+    ``approximate``: values of the table near them instead, from one pass.
+    """
+    steps = [i / q for i in range(q + 1)]
+    if approximate:
+        return df.agg(F.percentile_approx(F.col(col), steps, 100000)).first()[0]
+    return quantiles(df, col, steps)
 
 
 def quantile_bin(df: DataFrame, col: str, q: int = 10, dup: str = "raise") -> DataFrame:
-    """Adds ``bin`` (right-closed, lowest included) and ``edges``."""
+    """Adds ``bin`` (right-closed, lowest included; NULL for a NULL value) and ``edges``. Edges that repeat are an error, or with ``dup="drop"`` count once."""
     edges = quantile_edges(df, col, q)
+    if edges is None:
+        return df.withColumns({"bin": F.lit(None).cast("int"), "edges": F.lit(None).cast("array<double>")})
     if dup == "drop":
-        edges = edges.select(F.array_distinct("edges").alias("edges"))
-    else:
-        same = F.size(F.array_distinct("edges")) < F.size("edges")
-        edges = edges.select(F.when(same, F.raise_error(F.lit("bin edges must be unique")).cast("array<double>")).otherwise(F.col("edges")).alias("edges"))
-    bin_ = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(col))) - 1, F.lit(0))
-    return df.crossJoin(F.broadcast(edges)).withColumn("bin", bin_)
+        edges = sorted(set(edges))
+    elif len(set(edges)) < len(edges):
+        raise ValueError("bin edges must be unique")
+    below = sum((F.when(F.col(col) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    bin_ = F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))
+    return df.withColumns({"bin": bin_.cast("int"), "edges": F.array(*map(F.lit, edges))})
 
 
 def log_zscore(df: DataFrame, col: str) -> DataFrame:
@@ -99,9 +106,24 @@ def upper_triangle(maps: DataFrame) -> DataFrame:
     return maps.where("i < j")
 
 
+SPECIALS = ["MASK", "blank", "SOS", "EOS"]
+
+
+def distance_dictionary(maps: DataFrame, q: int = 10, approximate: bool = False) -> DataFrame:
+    """(bin_id, edge): 0 and the pooled quantile edges over all pairs of all maps, the last one too. Edges that repeat count once."""
+    pairs = upper_triangle(maps)
+    edges = [0.0, *sorted(set(quantile_edges(pairs, "d", q, approximate) or []))]
+    return maps.sparkSession.createDataFrame(list(enumerate(edges)), "bin_id int, edge double")
+
+
+def distance_ids(dictionary: DataFrame) -> DataFrame:
+    """(bin_id, edge, special): the ids of a dictionary's edges but the last, then the four special ids."""
+    n = dictionary.agg(F.max("bin_id").alias("_last"))
+    rows = dictionary.crossJoin(F.broadcast(n)).where("bin_id < _last").select("bin_id", "edge", F.lit(None).cast("string").alias("special"))
+    special = n.select(F.posexplode(F.array(*map(F.lit, SPECIALS))).alias("k", "special"), "_last")
+    return rows.unionByName(special.select((F.col("_last") + F.col("k")).alias("bin_id"), F.lit(None).cast("double").alias("edge"), "special"))
+
+
 def distance_bins(maps: DataFrame, q: int = 10, approximate: bool = False) -> DataFrame:
-    """(bin_id, edge, special): pooled quantile edges with 0 before them, then the four special ids."""
-    edges = quantile_edges(upper_triangle(maps), "d", q, approximate).select(F.concat(F.array(F.lit(0.0)), F.array_distinct("edges")).alias("e"))
-    rows = edges.select(F.posexplode("e").alias("bin_id", "edge"), F.lit(None).cast("string").alias("special"), F.size("e").alias("n")).where("bin_id < n - 1")
-    special = edges.select(F.posexplode(F.array(*map(F.lit, ["MASK", "blank", "SOS", "EOS"]))).alias("k", "special"), F.size("e").alias("n"))
-    return rows.select("bin_id", "edge", "special").unionByName(special.select((F.col("n") - 1 + F.col("k")).alias("bin_id"), F.lit(None).cast("double").alias("edge"), "special"))
+    """The id table of the maps' dictionary."""
+    return distance_ids(distance_dictionary(maps, q, approximate))

@@ -1,10 +1,11 @@
 """Token corruption for masked training."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.barrier import held
 from helixmill.hashrand import bar_of, draw_below, draws, uniform
+from helixmill.operators.order_statistics import ranked
 
 EPS = 1e-3
 
@@ -42,10 +43,9 @@ def mask_loglinear(df: DataFrame, mask_id: int, seed, id_col: str) -> DataFrame:
 
 
 def stratified_t(df: DataFrame, batch_col: str, id_col: str, seed) -> DataFrame:
-    """One draw a stratum of the batch, in [1e-3, 1)."""
-    batch = Window.partitionBy(batch_col)
-    i, n = F.row_number().over(batch.orderBy(id_col)) - 1, F.count("*").over(batch)
-    return df.withColumn("t", (uniform(seed, id_col) / n + i / n) % 1 * (1 - EPS) + EPS)
+    """One draw a stratum of the batch, in [1e-3, 1). Strata follow the order of ids; no batch is one task's."""
+    d = ranked(df, [id_col], batch_col, "_i", "_n")
+    return d.withColumn("t", (uniform(seed, id_col) / F.col("_n") + F.col("_i") / F.col("_n")) % 1 * (1 - EPS) + EPS).drop("_i", "_n")
 
 
 def condition_dropout(df: DataFrame, p: float, seed, id_col: str) -> DataFrame:

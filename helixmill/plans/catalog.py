@@ -302,6 +302,13 @@ def _(spark, d):
     return conditions.upper_triangle(view(spark, d, "distances")).select("map_id", "i", "j", "d")
 
 
+@query("distance_dictionary", oracle("distances") + """, q as (select quantile_cont(d, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) as e from distances where i < j),
+e as (select list_concat([0.0], list_sort(list_distinct(e))) as e from q)
+select cast(i - 1 as integer) as bin_id, round(e[i], 6) as edge from (select e, unnest(range(1, len(e) + 1)) as i from e) x""")
+def _(spark, d):
+    return conditions.distance_dictionary(view(spark, d, "distances")).select("bin_id", r6("edge").alias("edge"))
+
+
 @query("distance_bins", oracle("distances") + """, q as (select quantile_cont(d, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) as e from distances where i < j),
 e as (select list_concat([0.0], list_sort(list_distinct(e))) as e from q)
 select cast(i - 1 as integer) as bin_id, round(e[i], 6) as edge, null as special from (select e, unnest(range(1, len(e))) as i from e) x

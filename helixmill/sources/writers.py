@@ -21,8 +21,13 @@ def write_frequencies(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_bins(bins: DataFrame, path: str) -> None:
-    bins.write.mode("errorifexists").option("header", True).csv(path)
+def write_bins(dictionary: DataFrame, path: str) -> None:
+    """Both tables of a distance dictionary, without headers: ``dictionary`` (bin, edge) with all edges, ``ids`` (edge or <token>, id)."""
+    from helixmill.operators.conditions import distance_ids
+
+    ids = distance_ids(dictionary).select(F.coalesce(F.col("edge").cast("string"), F.concat(F.lit("<"), "special", F.lit(">"))).alias("token"), "bin_id")
+    for name, rows in (("dictionary", dictionary.select("bin_id", "edge")), ("ids", ids)):
+        rows.coalesce(1).sortWithinPartitions("bin_id").write.mode("errorifexists").csv(f"{path}/{name}")  # a row an edge
 
 
 def write_vocab(vocab: DataFrame, path: str) -> bool:
