@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.sequences import frame, raw_sequence
 from helixmill.operators.conditions import parse_list
+from helixmill.sources import summary_log
+from helixmill.sources.matrices import MatrixSource
 
 
 def read_peptides(spark: SparkSession, path: str) -> DataFrame:
@@ -38,24 +40,54 @@ def read_samples(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(schema).csv(paths, header=True, comment="#").withColumn("output_file", F.input_file_name())
 
 
-def read_runs(spark: SparkSession, summary: DataFrame) -> DataFrame:
+SAMPLE_COLUMNS = ["Generated Sequence", "Extracted Sequence", "Is Valid", "In Training Data", "Is Repeat"]
+
+
+def read_runs(spark: SparkSession, summary: DataFrame, rows_per_batch: int = 10_000) -> DataFrame:
     """The sample files that ``summary.output_file`` names, each row with the name given there; missing files have no rows.
 
-    The names are a list of files, which Spark's reader keeps on the driver as well: one a run.
+    The names stay a column: tasks open the files of the names they have, so neither the driver nor a query plan
+    holds a list of files. Names are paths of the cluster's default file system, or full addresses.
     """
-    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), {}
-    for (name,) in summary.select("output_file").where("output_file is not null").distinct().collect():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            found[name] = fs.makeQualified(path).toUri().getPath()
-    schema = "output_file string, _path string"
-    names = spark.createDataFrame(list(found.items()), schema)
-    if not found:
-        none = "`Generated Sequence` string, `Extracted Sequence` string, `Is Valid` string, `In Training Data` string, `Is Repeat` string, output_file string"
-        return spark.createDataFrame([], none)
-    rows = read_samples(spark, list(found)).drop("output_file").withColumn("_path", F.regexp_replace(F.url_decode(F.input_file_name()), r"^\w+:/+(?=/)|^\w+:", ""))
-    return rows.join(F.broadcast(names), "_path").drop("_path")
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(batches):
+        import csv
+        import io
+        import itertools
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def text_of(name):
+            system, path = (fs.LocalFileSystem(), name) if default.startswith("file:") else (fs.FileSystem.from_uri(default)[0], name)
+            if name.startswith("file:"):
+                system, path = fs.LocalFileSystem(), "/" + name[5:].lstrip("/")
+            elif "://" in name:
+                system, path = fs.FileSystem.from_uri(name)
+            return io.TextIOWrapper(system.open_input_stream(path), encoding="utf-8", errors="replace", newline="")
+
+        for b in batches:
+            for name in b["output_file"].to_pylist():
+                try:
+                    text = text_of(name)
+                except FileNotFoundError:
+                    continue
+                with text:
+                    lines = csv.reader(line for line in text if not line.startswith("#") and line.strip())
+                    next(lines, None)  # the header
+                    while some := list(itertools.islice(lines, rows_per_batch)):
+                        columns = [[(r[k] or None) if k < len(r) else None for r in some] for k in range(len(SAMPLE_COLUMNS))]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array([name] * len(some))], names=[*SAMPLE_COLUMNS, "output_file"])
+
+    names = summary.select("output_file").where("output_file is not null").distinct().repartition(width, "output_file")
+    return names.mapInArrow(read, ", ".join(f"`{c}` string" for c in SAMPLE_COLUMNS) + ", output_file string")
+
+
+def read_summary(spark: SparkSession, path: str, run: str = "config_id") -> DataFrame:
+    """The newest row of each run that ``writers.append_summary`` has written."""
+    return summary_log.read(spark, path, run)
 
 
 def resolve_column(df: DataFrame, names: list[str], on_missing: str = "raise") -> DataFrame:
@@ -82,19 +114,27 @@ def read_epoch_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_distance_maps(spark: SparkSession, path: str) -> DataFrame:
-    """(map_id, i, j, d) of square .npy matrices. The only Python worker of this module."""
+def read_distance_maps(spark: SparkSession, path: str, triangle: bool = False) -> DataFrame:
+    """(map_id, i, j, d) of square .npy matrices; with ``triangle`` the strict upper triangle alone.
+
+    Files that executors can mount are mapped and read by ranges of rows (``matrices``); a file in another store is
+    one task's, whole.
+    """
+    if "://" not in path or path.startswith("file:"):
+        spark.dataSource.register(MatrixSource)
+        return spark.read.format("npy_matrix").option("triangle", str(triangle).lower()).load(path)
 
     def decode(batches):
         import io
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
-            for p, c in zip(b["path"], b["content"]):
-                m = np.load(io.BytesIO(c))
-                i, j = np.indices(m.shape)
-                yield pd.DataFrame({"map_id": p, "i": i.ravel(), "j": j.ravel(), "d": m.ravel().astype(float)})
+            for p, c in zip(b["path"].to_pylist(), b["content"]):
+                m = np.load(io.BytesIO(c.as_buffer()))
+                for i in range(len(m)):
+                    j = np.arange(i + 1 if triangle else 0, m.shape[1], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(j), pa.string()), pa.array(np.full(len(j), i, np.int32)), pa.array(j), pa.array(m[i, j].astype(float))], names=["map_id", "i", "j", "d"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "map_id string, i int, j int, d double")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "map_id string, i int, j int, d double")

@@ -1,16 +1,23 @@
 """Sinks. None rewrites its input; runs are partitions that can be written again."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.sources import summary_log
+
 
 def write_samples(df: DataFrame, path: str, run: str = "config_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
 
 
-def append_summary(df: DataFrame, path: str, run: str = "config_id") -> None:
-    """A run's summary row; writing the run again replaces it."""
-    write_samples(df, path, run)
+def append_summary(df: DataFrame, path: str) -> None:
+    """A run's summary row; writing the run again replaces it for ``readers.read_summary``."""
+    summary_log.append(df, path)
+
+
+def compact_summary(spark: SparkSession, path: str, run: str = "config_id") -> bool:
+    """Many runs' rows into one file; whether there was anything to do."""
+    return summary_log.compact(spark, path, run)
 
 
 def write_scored(df: DataFrame, path: str) -> None:
