@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 
 import numpy as np
@@ -121,6 +122,29 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each span: its own bytes, padded with zeros, up to 16 of them, and a 128-bit digest of longer ones."""
+    wide = np.concatenate([data, np.zeros(16, np.uint8)])
+    size = end - start
+    at = lambda pos: np.ndarray(len(wide) - 7, "<u8", wide, strides=(1,))[pos]
+    kept = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+    low = at(start) & kept[np.minimum(size, 8)]
+    high = at(np.minimum(start + 8, len(wide) - 8)) & kept[np.clip(size - 8, 0, 8)]
+    for i in np.flatnonzero(size > 16).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    return low, high
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word that has no algebra over its bytes, so that no texts can be made to collide for every key.
+
+    (A polynomial over bytes modulo 2^64 takes a Thue-Morse word of 1024 signs and its complement for one.)
+    """
+    low, high = word_keys(data, start, end)
+    return mix(low ^ mix(high + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the n + 1 offsets of its rows. Null: empty."""
     parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
@@ -200,7 +224,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.
     start, end, row = words_of(data, offsets)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    word = span_hash(prefix_hash(data), start, end)
+    word = word_hash(data, start, end)
     count = np.bincount(row, minlength=len(offsets) - 1)
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
     at = np.arange(len(word)) - begin[row]

@@ -19,8 +19,6 @@ of value 0 and no terms. Other columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,22 +38,8 @@ _LETTERS[65:91] = _LETTERS[97:123] = True
 
 # ------------------------------------------------------------------ counting
 
-def _identities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers that are a term's identity: its own bytes up to 16 (terms hold no zero byte), else a 128-bit digest of them."""
-    wide = np.concatenate([data, np.zeros(16, np.uint8)])
-    size = end - start
-    at = lambda pos: np.ndarray(len(wide) - 7, "<u8", wide, strides=(1,))[pos]
-    kept = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
-    low = at(start) & kept[np.minimum(size, 8)]
-    high = at(np.minimum(start + 8, len(wide) - 8)) & kept[np.clip(size - 8, 0, 8)]
-    for i in np.flatnonzero(size > 16).tolist():
-        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
-        low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
-    return low, high
-
-
 def _numbered(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A dense number of each identity, and one place that has each number."""
+    """A dense number of each identity (terms hold no zero byte, so their bytes are one), and one place that has each number."""
     mixed = C.mix(low ^ C.mix(high + U64(0x9E3779B97F4A7C15)))
     order = np.argsort(mixed)
     near = mixed[order]
@@ -76,7 +60,7 @@ def count_terms(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tup
     z = np.zeros(0, np.int64)
     if not len(start):
         return z, [], z, z, z
-    number, place = _numbered(*_identities(data, start, end))
+    number, place = _numbered(*C.word_keys(data, start, end))
     terms = [data[a:b].tobytes().decode() for a, b in zip(start[place].tolist(), end[place].tolist())]
     pair, times = np.unique(row * len(terms) + number, return_counts=True)
     key = group[pair // len(terms)] * len(terms) + pair % len(terms)

@@ -58,3 +58,15 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert J.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_that_a_polynomial_hash_takes_for_one(spark):
+    """A Thue-Morse word of 1024 signs and its complement share nothing, alone or within longer texts."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = "some more words that both of them have in the same order"
+    rows = [(1, word), (2, other), (3, word), (4, f"{word} x y z {word}"), (5, f"{other} x y z {other}"), (6, f"{rest} {word}"), (7, f"{rest} {other}"), (8, "a\0 b c d e"), (9, "a b c d e")]
+    got = {r.doc_id: r.component_id for r in J.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9}
