@@ -4,7 +4,8 @@
    them into sequences of ``size`` ids; only its last sequence is padded.
 2. Partition counts give each sequence a dense number i in [0, N); its slot is the Feistel
    permutation of i over the next even power of two, walked until it falls below N.
-3. Shard s holds the slots [s * per_shard, (s + 1) * per_shard). One task writes one shard: records
+3. Shard s holds the slots [s * per_shard, (s + 1) * per_shard). Sequences are dealt out by ranges of
+   slots, a partition a shard, and one task writes one shard: records
    of a fixed stride (``size`` ids of 16 or 32 bits), so slot t stands at byte
    ``(t mod per_shard) * stride`` and a reader resumes anywhere. A shard is written beside its
    place and then moved, so a repeated task leaves the same file.
@@ -13,7 +14,8 @@ The order is fixed by the key, the table and its files' partitioning; ``sequence
 so a repeated task never changes it.
 
 Rows: a null or empty text is the end id alone; repeated rows are written again; a null doc_id
-counts as any other; other columns are ignored; no rows give no shards.
+counts as any other; other columns are ignored; no rows give no shards. An id that ``id_bytes`` can't hold is
+an error, never another id.
 """
 
 from __future__ import annotations
@@ -63,6 +65,8 @@ def sequences(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, e
 
     def cut(batches):
         part, place = TaskContext.get().partitionId(), 0
+        if pad_id > np.iinfo(kind).max:
+            raise ValueError(f"id {pad_id} doesn't fit in {id_bytes} bytes")
         rest, owner = np.zeros(0, kind), np.zeros(0, np.int64)
         names = [f.split()[0] for f in SEQUENCES.split(", ")]
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -76,7 +80,10 @@ def sequences(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, e
             for lo in range(0, len(ids), 500):
                 coded = encode_all(texts.slice(lo, 500).to_pylist(), path, end_id)
                 owner = np.concatenate([owner, np.repeat(ids[lo : lo + 500], [len(c) // 4 for c in coded])])
-                rest = np.concatenate([rest, np.frombuffer(b"".join(coded), np.uint32).astype(kind)])
+                wide = np.frombuffer(b"".join(coded), np.uint32)
+                if len(wide) and wide.max() > np.iinfo(kind).max:
+                    raise ValueError(f"id {wide.max()} doesn't fit in {id_bytes} bytes")
+                rest = np.concatenate([rest, wide.astype(kind)])
                 done = []
                 for k in range(0, len(rest) - size + 1, size):
                     done.append((part, place, size, named(owner[k]), named(owner[k + size - 1]), rest[k : k + size].tobytes()))
@@ -114,32 +121,36 @@ def in_training_order(seqs: DataFrame, key: int = 20240229) -> DataFrame:
 def write_shards(ordered: DataFrame, folder: str, size: int = 2048, per_shard: int = 2048, id_bytes: int = 2) -> DataFrame:
     """Write ``folder``/shard-NNNNNN.bin and return a row per sequence (SHARDS)."""
     stride = size * id_bytes
-
-    def write(group, table):
-        order = np.argsort(C.ints(table["slot"]))
-        table = table.take(pa.array(order))
-        shard = int(group[0].as_py())
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        path = f"{root}/shard-{shard:06d}.bin"
-        beside = f"{root}/_writing-{uuid.uuid4().hex}"
-        ids = table["ids"].combine_chunks()
-        with fs.open_output_stream(beside) as f:
+    last = ordered.agg(F.max("slot")).first()[0]
+    if last is None:
+        return ordered.sparkSession.createDataFrame([], SHARDS)
+
+    def write(batches):
+        fs = beside = None
+        rows: list[pa.RecordBatch] = []
+        for b in batches:  # the partition's slots are one shard's, ascending
+            if not b.num_rows:
+                continue
+            slot, ids = C.ints(b["slot"]), b["ids"]
+            if fs is None:
+                fs, root = pafs.FileSystem.from_uri(folder)
+                fs.create_dir(root, recursive=True)
+                shard = int(slot[0]) // per_shard
+                path, beside = f"{root}/shard-{shard:06d}.bin", f"{root}/_writing-{uuid.uuid4().hex}"
+                out = fs.open_output_stream(beside)
             for x in ids:
-                f.write(x.as_buffer())
-        fs.move(beside, path)
-        slot = C.ints(table["slot"])
-        crc = [zlib.crc32(memoryview(x.as_buffer())[: n * id_bytes]) for x, n in zip(ids, table["n_tokens"].to_pylist())]
-        return pa.table(
-            {
-                "slot": pa.array(slot), "shard": pa.array(np.full(len(slot), shard), pa.int32()), "byte_offset": pa.array(slot % per_shard * stride),
-                "n_tokens": table["n_tokens"], "first_doc_id": table["first_doc_id"], "last_doc_id": table["last_doc_id"],
-                "ids_crc32": pa.array(crc, pa.int64()), "path": pa.array([path] * len(slot)),
-            }
-        )
-
-    ranged = ordered.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    return ranged.groupBy("shard").applyInArrow(write, SHARDS)
+                out.write(x.as_buffer())
+            crc = [zlib.crc32(memoryview(x.as_buffer())[: n * id_bytes]) for x, n in zip(ids, b["n_tokens"].to_pylist())]
+            columns = [slot, np.full(len(slot), shard, np.int32), slot % per_shard * stride, b["n_tokens"], b["first_doc_id"], b["last_doc_id"], np.array(crc, np.int64)]
+            rows.append(pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], pa.array([path] * len(slot))], names=[c.split()[0] for c in SHARDS.split(", ")]))
+        if fs is not None:
+            out.close()
+            fs.move(beside, path)
+        yield from rows
+
+    # one partition a range of slots, which is a shard
+    ranged = ordered.repartitionById(last // per_shard + 1, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
+    return ranged.mapInArrow(write, SHARDS)
 
 
 def read_shards(folder: str, first: int, last: int, size: int = 2048, per_shard: int = 2048, id_bytes: int = 2):
