@@ -647,12 +647,26 @@ def _(spark, d):
     return scores.draw_category(scores.softmax_scores(_blend(spark, d), [4]), 12, 2.0)
 
 
-def flagship(spark, d) -> DataFrame:
+def flagship(spark, d, samples: DataFrame | None = None) -> DataFrame:
     """How every run did: rates and mean scores from one table of samples, in one aggregation."""
-    return evaluation.run_report(evaluation.score_samples(by_payload(spark, d)))
+    samples = view(spark, d, "samples") if samples is None else samples
+    return evaluation.run_report(evaluation.score_samples(evaluation.by_payload(samples, training(spark, d))))
 
 
-@query("grid_report", SCORED + ", rates as (" + RATES.replace("[x]", "coalesce(round(100.0 * novel_count / nullif(valid_count, 0), 2), 0) as novelty_of_valid, ") + "), means as (select config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from scored group by config_id) select * from rates join means using (config_id)")
-def _(spark, d):
-    f = flagship(spark, d)
+REPORT = ", rates as (" + RATES.replace("[x]", "coalesce(round(100.0 * novel_count / nullif(valid_count, 0), 2), 0) as novelty_of_valid, ") + "), means as (select config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from scored group by config_id) select * from rates join means using (config_id)"
+
+
+def _report(f: DataFrame) -> DataFrame:
     return f.select(*[r9(c).alias(c) if c.startswith("mean_") else c for c in f.columns])
+
+
+@query("grid_report", SCORED + REPORT)
+def _(spark, d):
+    return _report(flagship(spark, d))
+
+
+@query("grid_report_512", SCORED.replace("cast(doc_id % 8 as int) as config_id", "cast((doc_id + n) % 512 as int) as config_id") + REPORT)
+def _(spark, d):
+    """The published grid's shape: 512 settings, which all samples are dealt to."""
+    setting = F.expr("cast((sample_id div 16777216 + sample_id % 16777216) % 512 as int)")
+    return _report(flagship(spark, d, view(spark, d, "samples").withColumn("config_id", setting)))
