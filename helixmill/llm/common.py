@@ -390,6 +390,18 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
     return maps.join(least, "component").select("node", F.col("least").alias("component"))
 
 
+def merged_components(groups: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``groups`` (node, component) joined further by ``links`` (a, b): components are worked out over the links between groups alone."""
+    end = lambda e, c: e.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_")), c, "left").withColumn(c, F.coalesce(f"{c}_", c)).drop(f"{c}_")
+    between = materialize(end(end(links.select("a", "b"), "a"), "b").where("a <> b").distinct(), f"{name}-between")
+    if between.isEmpty():
+        return groups
+    maps = connected_components(between, name)
+    joined = groups.join(maps.select(F.col("node").alias("component"), F.col("component").alias("m")), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    alone = maps.join(groups.select("node"), "node", "left_anti")  # ends that were in no group
+    return materialize(joined.unionByName(alone.select("node", "component")), f"{name}-merged")
+
+
 def _with_heads(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of every entry with one first node of its keys and classes; the cached heads, to be let go of."""
     # cached or written tables stand on both sides of joins by key, so that adaptive execution may split a frequent key
@@ -422,7 +434,6 @@ def link_components(entries: DataFrame, admissible, verify, name: str, links: Da
     if head is not None:
         head.unpersist()
     groups = connected_components(links, f"{name}-cc1")
-
     e = entries.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     e = materialize(e, f"{name}-grouped")
     sizes = e.groupBy("key", "g").agg(F.count("*").alias("n"))
@@ -434,5 +445,4 @@ def link_components(entries: DataFrame, admissible, verify, name: str, links: Da
     pairs = few.join(all_, F.expr("l.key = r.key and l.g <> r.g") & admissible("l", "r"))
     pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     more = materialize(verify(pairs), f"{name}-links2").select("a", "b")
-    links = links.unionByName(more)
-    return connected_components(links.unionByName(known) if known is not None else links, f"{name}-cc2")
+    return merged_components(groups, more.unionByName(known) if known is not None else more, f"{name}-cc2")
