@@ -65,11 +65,13 @@ def load_for_frequency(df: DataFrame, col: str, only_valid: bool = True, flag: s
     return training_list(df, col)
 
 
-def param_grid(**scales: DataFrame) -> DataFrame:
-    """All combinations of the scales' distinct values; each is a short list."""
+def param_grid(most: int = 10_000, **scales: DataFrame) -> DataFrame:
+    """All combinations of the scales' distinct values. A scale with more than ``most`` values is an error, so what is broadcast is bounded."""
     out = None
     for name, df in scales.items():
         values = df.select(F.col(df.columns[0]).alias(name)).distinct()
+        if values.limit(most + 1).count() > most:
+            raise ValueError(f"{name} has more than {most} values")
         out = values if out is None else out.crossJoin(F.broadcast(values))
     return out
 

@@ -15,6 +15,7 @@ from helixmill.functions import sequences as S
 from helixmill.hashrand import uniform
 from helixmill.operators import batching, composition, conditions, corruption, evaluation, membership, ranking, scores, vocabulary
 from helixmill.session import scratch
+from helixmill.sources import readers, writers
 
 QUERIES, ORACLES = {}, {}
 L, ALL = K.L_RESIDUES, K.L_RESIDUES + K.D_RESIDUES
@@ -484,6 +485,18 @@ def _(spark, d):
     return evaluation.summary_row(evaluation.run_rates(by_payload(spark, d)), settings)
 
 
+@query("summary_log", ORACLES["summary_row"])
+def _(spark, d):
+    """The summary table by way of its log: a first version of all runs, a second of the even ones, and a compaction between reads."""
+    path = scratch(spark, "summary")
+    rows = QUERIES["summary_row"](spark, d)
+    stale = rows.withColumns({"valid_count": F.col("valid_count") - 1, "success_rate": F.lit("stale")})
+    writers.append_summary(stale.where("config_id % 2 = 0").unionByName(rows.where("config_id % 2 = 1")), path)
+    writers.append_summary(rows.where("config_id % 2 = 0"), path)
+    writers.compact_summary(spark, path)
+    return readers.read_summary(spark, path)
+
+
 @query("stream_run_rates", JUDGED + RATES.replace("[x]", ""))
 def _(spark, d):
     from helixmill.streaming.run_rates import stream_run_rates
@@ -509,6 +522,18 @@ def _(spark, d):
     return m.select("config_id", *[r9(f"mean_{n}").alias(f"mean_{n}") for n in SCORES])
 
 
+@query("run_files", SCORED + " select config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from scored group by config_id")
+def _(spark, d):
+    """Each run's samples as a file, and the mean scores of the files that the summary names."""
+    path, s = scratch(spark, "runs"), flagged(spark, d)
+    columns = [F.col("generated_sequence"), F.col("payload"), *[F.initcap(F.col(c).cast("string")) for c in ("is_valid", "known")], F.lit("False")]
+    rows = s.select("config_id", *[c.alias(n) for c, n in zip(columns, readers.SAMPLE_COLUMNS)])
+    rows.repartition(8, "config_id").write.partitionBy("config_id").option("header", True).csv(path)
+    summary = spark.read.option("header", True).csv(path).select("config_id", F.input_file_name().alias("output_file")).distinct()
+    m = evaluation.attach_runs(summary, readers.read_runs(spark, summary))
+    return m.select("config_id", *[r9(f"mean_{n}").alias(f"mean_{n}") for n in SCORES])
+
+
 def _property(name: str, column, sql) -> None:
     @query(name, oracle("samples") + f" select sample_id, round({sql('s')}, 9) as {name} from (select sample_id, upper(pep) as s from samples) x")
     def _(spark, d):

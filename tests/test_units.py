@@ -204,3 +204,10 @@ def test_losses_take_one_shuffle(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
     plan = catalog.QUERIES["draw_category"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_grid_of_bounded_scales(spark):
+    g = batching.param_grid(a=spark.range(3).select("id"), b=spark.createDataFrame([(1,), (1,), (2,)], "x int"))
+    assert sorted(map(tuple, g.collect())) == [(a, b) for a in range(3) for b in (1, 2)]
+    with pytest.raises(ValueError, match="more than 2 values"):
+        batching.param_grid(2, a=spark.range(3).select("id"))
