@@ -10,9 +10,8 @@ Query blocks and groups of candidate blocks meet in pairs, each pair in one task
 once a query block, queries once a group. A query keeps k rows a group, so the final ranking reads
 at most ``groups * k`` rows a query.
 
-Rows: vectors that are null, or hold null or non-finite components, take no part; vectors of
-another length than the most frequent one (ties: the longer) take none either, nor rows without an
-id. Rows with a query's own id are no candidates of it; otherwise repeated rows rank as often as
+Rows: vectors that are null, or hold null or non-finite components, take no part, nor do rows without
+an id; vectors of several lengths are an error. Rows with a query's own id are no candidates of it; otherwise repeated rows rank as often as
 they stand. Ties go to the smaller id. Other columns are ignored; no rows give no rows. A component
 or score that 64 bits can't hold is an error, never another number.
 """
@@ -61,13 +60,15 @@ def top_k(
         )
 
     all_, asked = clean(vectors), clean(queries)
-    shapes = all_.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"))
-    width = shapes.agg(F.max_by("n", F.struct("c", "n"))).first()[0] or 1
+    lengths = all_.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if lengths["low"] != lengths["high"]:
+        raise ValueError(f"vectors of {lengths['low']} to {lengths['high']} components have no common product")
+    width = lengths["high"] or 1
     groups = C.shuffle_width(spark)
-    items = _blocks(all_.where(F.size("v") == width), candidates_per_block, width)
+    items = _blocks(all_, candidates_per_block, width)
     items = C.materialize(items, "vector-blocks")
     # ids that count as queries are few in a range, so ranges are dealt by a hash of the id
-    wanted = C.materialize(asked.where(F.size("v") == width), "vector-queries")
+    wanted = C.materialize(asked, "vector-queries")
     blocks = max(1, -(-wanted.count() // queries_per_block))
 
     def query_blocks(table):

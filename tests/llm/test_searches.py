@@ -31,7 +31,10 @@ def test_topk_small(spark):
 def test_topk_lengths_and_large_numbers(spark):
     rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0]), (3, [1.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert {r.vec_id for r in vector_topk.top_k(v, v.where("vec_id = 0")).collect()} == {1, 3}
+    with pytest.raises(ValueError, match="1 to 2 components"):
+        vector_topk.top_k(v, v.where("vec_id = 0"))
+    same = v.where("vec_id <> 2")
+    assert {r.vec_id for r in vector_topk.top_k(same, same.where("vec_id = 0")).collect()} == {1, 3}
     for big in (1e17, 1e9):  # a component, a score beyond 64 bits
         w = spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>")
         with pytest.raises(Exception):
