@@ -136,6 +136,29 @@ def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return low, high
 
 
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A dense number of each different span, and for each number one span that has it. Spans are told apart by ``word_keys`` and length."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = word_keys(data, start, end)
+    size = end - start
+    mixed = mix(low ^ mix(high + size.astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+    def edges(order):
+        a, b = order[1:], order[:-1]
+        return (low[a] != low[b]) | (high[a] != high[b]) | (size[a] != size[b])
+
+    order = np.argsort(mixed)
+    new = edges(order)
+    if ((mixed[order[1:]] == mixed[order[:-1]]) & new).any():
+        order = np.lexsort((size, high, low))
+        new = edges(order)
+    first = np.concatenate([[True], new])
+    number = np.empty(len(low), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return number, order[first]
+
+
 def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word that has no algebra over its bytes, so that no texts can be made to collide for every key.
 

@@ -13,13 +13,14 @@ again; other columns are ignored; no rows give no pieces. The ids of a piece com
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm import common as C
-from helixmill.llm.tokens import encode_all, tokenizer_path
+from helixmill.llm.tokens import encode_rows, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, leftover int, slot long"
 _NAMES = [f.split()[0] for f in PIECES.split(", ")]
@@ -73,8 +74,11 @@ def pack(
 
         for b in batches:
             doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for lo in range(0, len(doc_ids), 500):
-                for doc, ids in zip(doc_ids[lo : lo + 500], encode_all(texts.slice(lo, 500).to_pylist(), path, end_id)):
+            for lo in range(0, len(doc_ids), 2000):
+                coded, count = encode_rows(texts.slice(lo, 2000), path, end_id)
+                raw = coded.tobytes()
+                ends = (np.cumsum(count) * 4).tolist()
+                for doc, ids in zip(doc_ids[lo : lo + 2000], (raw[z - 4 * n : z] for z, n in zip(ends, count.tolist()))):
                     total = len(ids) // 4
                     whole = total // size * size
                     for s in range(0, whole, size):

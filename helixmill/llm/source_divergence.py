@@ -38,21 +38,6 @@ _LETTERS[65:91] = _LETTERS[97:123] = True
 
 # ------------------------------------------------------------------ counting
 
-def _numbered(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A dense number of each identity (terms hold no zero byte, so their bytes are one), and one place that has each number."""
-    mixed = C.mix(low ^ C.mix(high + U64(0x9E3779B97F4A7C15)))
-    order = np.argsort(mixed)
-    near = mixed[order]
-    new = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-    if ((near[1:] == near[:-1]) & new).any():
-        order = np.lexsort((high, low))
-        new = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-    first = np.concatenate([[True], new])
-    number = np.empty(len(low), np.int64)
-    number[order] = np.cumsum(first) - 1
-    return number, order[first]
-
-
 def count_terms(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Terms of some rows by group: the group, the distinct terms, and for each (group, term) the term's number, occurrences and rows."""
     data = C.lower_ascii(data)
@@ -60,7 +45,7 @@ def count_terms(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tup
     z = np.zeros(0, np.int64)
     if not len(start):
         return z, [], z, z, z
-    number, place = _numbered(*C.word_keys(data, start, end))
+    number, place = C.numbered(data, start, end)
     terms = [data[a:b].tobytes().decode() for a, b in zip(start[place].tolist(), end[place].tolist())]
     pair, times = np.unique(row * len(terms) + number, return_counts=True)
     key = group[pair // len(terms)] * len(terms) + pair % len(terms)

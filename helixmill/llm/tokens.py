@@ -1,15 +1,19 @@
-"""Token ids by a public tokenizer, one lookup a word.
+"""Token ids by a public tokenizer, one lookup for each different word of some rows.
 
 The vocabulary drops white space and never merges across it, so a text's ids are those of its words
-in order. Each Python worker keeps the ids of words it has met (at most ``CACHE`` of them); only
+in order. Each Python worker keeps the ids of words it has met (about ``CACHE`` of them); only
 new words go through the tokenizer, in batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from helixmill.llm import common as C
 
 CACHE = 1_500_000
+SLICE = 1 << 22  # bytes of text that are worked on at a time
 _TRAIL = b".,;:!?%$#*&|"
 _STATE: dict[str, tuple] = {}
 
@@ -30,31 +34,11 @@ def _load(path: str):
     return _STATE[path]
 
 
-def encode_all(texts: list[str | None], path: str, end_id: int | None = 1) -> list[bytes]:
-    """Little-endian 32-bit ids of every text, then ``end_id``. A null text is empty.
-
-    Words split at ASCII white space; trailing ASCII punctuation splits off after a letter or
-    digit, as the tokenizer's own pattern does. ASCII letters are lower-cased first, unless a
-    combining mark might compose with one. A text with ``<|`` (special tokens) goes through whole.
-    """
-    model, known = _load(path)
-    if len(known) > CACHE:
-        known.clear()
-    tail = b"" if end_id is None else np.uint32(end_id).tobytes()
-    split, new = [], set()
-    for text in texts:
-        raw = (text or "").encode()
-        if b"<|" in raw:
-            split.append(text)
-            continue
-        if b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = raw.lower()
-        words = raw.split()
-        split.append(words)
-        new.update(words)
+def _learn(words: list[bytes], model, known: dict[bytes, bytes]) -> None:
+    """Put the words' ids into ``known``. Trailing ASCII punctuation splits off after a letter or digit, as the tokenizer's own pattern does."""
     parts: dict[bytes, tuple] = {}
     need = set()
-    for w in new:
+    for w in words:
         if w in known:
             continue
         stem = w.rstrip(_TRAIL)
@@ -63,19 +47,74 @@ def encode_all(texts: list[str | None], path: str, end_id: int | None = 1) -> li
             need.update(x for x in parts[w] if x not in known)
         else:
             need.add(w)
-    if need:
-        need = list(need)
-        for i in range(0, len(need), 4096):
-            some = need[i : i + 4096]
-            for w, e in zip(some, model.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+    need = list(need)
+    for i in range(0, len(need), 4096):
+        some = need[i : i + 4096]
+        for w, e in zip(some, model.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
+            known[w] = np.array(e.ids, np.uint32).tobytes()
     for w, (a, b) in parts.items():
         known[w] = known[a] + known[b]
-    get = known.__getitem__
-    out = []
-    for words in split:
-        if isinstance(words, list):
-            out.append(b"".join(map(get, words)) + tail)
-        else:
-            out.append(np.array(model.encode(words, add_special_tokens=False).ids, np.uint32).tobytes() + tail)
-    return out
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray, model, known: dict[bytes, bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows end to end, and how many each row has."""
+    rows = len(offsets) - 1
+    row_of = lambda at: np.unique(np.searchsorted(offsets, at, side="right") - 1)
+    marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) > 1 else np.zeros(0, np.int64)
+    own = np.searchsorted(offsets, marks, side="right") - 1
+    whole = np.unique(own[marks + 1 < offsets[own + 1]])
+    low = C.lower_ascii(data)
+    for r in row_of(np.flatnonzero((data == 0xCC) | (data == 0xCD))).tolist():
+        low[offsets[r] : offsets[r + 1]] = data[offsets[r] : offsets[r + 1]]
+    start, end, row = C.words_of(low, offsets)
+    if len(whole):
+        rest = ~np.isin(row, whole)
+        start, end, row = start[rest], end[rest], row[rest]
+    # each different word is looked up once, and its ids go to all its places
+    number, place = C.numbered(low, start, end)
+    raw = low.tobytes()
+    words = [raw[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())]
+    if len(known) > CACHE:
+        known.clear()
+    _learn(words, model, known)
+    each = [known[w] for w in words]
+    flat = np.frombuffer(b"".join(each), np.uint32)
+    length = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    begin = np.cumsum(length) - length
+    size = length[number]
+    ids = flat[np.repeat(begin[number] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    per_row = np.bincount(row, weights=size, minlength=rows).astype(np.int64)
+    special = {r: np.array(model.encode(data[offsets[r] : offsets[r + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for r in whole.tolist()}
+    ends = 0 if end_id is None else 1
+    count = per_row + ends
+    for r, x in special.items():
+        count[r] += len(x)
+    first = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.uint32)
+    out[np.repeat(first - (np.cumsum(per_row) - per_row), per_row) + np.arange(len(ids))] = ids
+    for r, x in special.items():
+        out[first[r] : first[r] + len(x)] = x
+    if ends:
+        out[first + count - 1] = end_id
+    return out, count
+
+
+def encode_rows(column, path: str, end_id: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows end to end, the number of each row's) of a string column, each row's followed by ``end_id``. A null text is empty.
+
+    Words split at ASCII white space. ASCII letters are lower-cased first, unless a combining mark might
+    compose with one. A text with ``<|`` (special tokens) goes through whole.
+    """
+    model, known = _load(path)
+    data, offsets = C.text_bytes(column)
+    done = [_encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model, known, end_id) for i, j in C.slices(offsets, SLICE)]
+    if not done:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
+
+
+def encode_all(texts: list[str | None], path: str, end_id: int | None = 1) -> list[bytes]:
+    """Little-endian 32-bit ids of every text, as ``encode_rows`` gives them."""
+    ids, count = encode_rows(pa.array(texts, pa.string()), path, end_id)
+    raw, ends = ids.tobytes(), np.cumsum(count) * 4
+    return [raw[b - 4 * n : b] for b, n in zip(ends.tolist(), count.tolist())]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm import common as C
-from helixmill.llm.tokens import encode_all, tokenizer_path
+from helixmill.llm.tokens import encode_rows, tokenizer_path
 
 U64 = np.uint64
 SEQUENCES = "part int, place long, n_tokens int, first_doc_id long, last_doc_id long, ids binary"
@@ -77,10 +77,9 @@ def sequences(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, e
 
         for b in batches:
             ids, texts = C.ints(b.column("doc_id")), b.column("text")
-            for lo in range(0, len(ids), 500):
-                coded = encode_all(texts.slice(lo, 500).to_pylist(), path, end_id)
-                owner = np.concatenate([owner, np.repeat(ids[lo : lo + 500], [len(c) // 4 for c in coded])])
-                wide = np.frombuffer(b"".join(coded), np.uint32)
+            for lo in range(0, len(ids), 2000):
+                wide, count = encode_rows(texts.slice(lo, 2000), path, end_id)
+                owner = np.concatenate([owner, np.repeat(ids[lo : lo + 2000], count)])
                 if len(wide) and wide.max() > np.iinfo(kind).max:
                     raise ValueError(f"id {wide.max()} doesn't fit in {id_bytes} bytes")
                 rest = np.concatenate([rest, wide.astype(kind)])
