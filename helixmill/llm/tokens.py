@@ -1,7 +1,7 @@
 """Token ids by a public tokenizer, one lookup for each different word of some rows.
 
 The vocabulary drops white space and never merges across it, so a text's ids are those of its words
-in order. Each Python worker keeps the ids of words it has met (about ``CACHE`` of them); only
+in order. Each Python worker keeps the ids of words it has met (some ``CACHE`` of them, the latest); only
 new words go through the tokenizer, in batches.
 """
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from helixmill.llm import common as C
 
-CACHE = 1_500_000
+CACHE = 700_000  # some 140 MB
 SLICE = 1 << 22  # bytes of text that are worked on at a time
 _TRAIL = b".,;:!?%$#*&|"
 _STATE: dict[str, tuple] = {}
@@ -74,8 +74,10 @@ def _encode(data: np.ndarray, offsets: np.ndarray, model, known: dict[bytes, byt
     number, place = C.numbered(low, start, end)
     raw = low.tobytes()
     words = [raw[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())]
-    if len(known) > CACHE:
+    if len(known) > CACHE:  # what these rows have as well stays
+        kept = {w: known[w] for w in words if w in known}
         known.clear()
+        known |= kept
     _learn(words, model, known)
     each = [known[w] for w in words]
     flat = np.frombuffer(b"".join(each), np.uint32)
