@@ -96,3 +96,19 @@ def test_shards(spark):
     assert sorted(docs_back) == sorted(tuple(ids(t)) for _, t in data)
     empty = C.materialize(training_order.sequences(docs.limit(0)), "t-none")
     assert training_order.write_shards(training_order.in_training_order(empty), folder).collect() == []
+
+
+def test_words_that_are_known_and_a_full_cache(monkeypatch):
+    """Ids are the same with what was met before, and when the cache overflows at every slice."""
+    r = random.Random(8)
+    texts = TEXTS + [" ".join("".join(r.choice("abcé0.") for _ in range(r.choice([1, 3, 9, 20]))) for _ in range(50)) for _ in range(60)]
+    want = [ids(t) for t in texts]
+    path = tokens.tokenizer_path()
+    for cache, size in ((1_500_000, 1 << 22), (20, 300), (0, 1)):
+        monkeypatch.setattr(tokens, "CACHE", cache)
+        monkeypatch.setattr(tokens, "SLICE", size)
+        tokens._STATE.clear()
+        for _ in range(2):
+            assert [np.frombuffer(b, np.uint32).tolist() for b in tokens.encode_all(texts, path)] == want
+    assert tokens.encode_all([], path) == [] and tokens.encode_all([None, ""], path, None) == [b"", b""]
+    tokens._STATE.clear()
