@@ -1,4 +1,4 @@
-"""A bounded, class-balanced sample of labelled documents to fit a classifier on."""
+"""Labelled documents to fit a classifier on: all of them, or a bounded, class-balanced sample."""
 
 from __future__ import annotations
 
@@ -33,6 +33,15 @@ def sample(
     return chosen.groupBy("doc_id", "y").agg(F.min_by("text", C.row_key("doc_id", "text")).alias("text")).select("doc_id", "text", "y")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn_from, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y) of every labelled id that ``learn_from`` admits, by the rules of ``sample`` but without bounds."""
+    rows = labels.where(learn_from).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    rows = rows.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(rows, "doc_id")
+    return chosen.groupBy("doc_id", "y").agg(F.min_by("text", C.row_key("doc_id", "text")).alias("text")).select("doc_id", "text", "y")
+
+
 def held_out(doc_id, folds: int, fold: int):
     """Whether the id's remainder is ``fold``; an id that is null is in no fold."""
     return F.coalesce(remainder(doc_id, folds) == fold, F.lit(False))

@@ -37,3 +37,20 @@ def test_toxicity(spark):
 
 def test_quality(spark):
     check(spark, quality, "quality", 0.3)
+
+
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """No labelled row is left out, whatever their number, and long texts count whole: shards are trained apart and averaged."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    rows = [(i, ("word " * 14000 if i == 7 else "some plain words ") + (f"bad{i % 3} thing" if i % 2 else f"good{i % 3} thing")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    shards, n, classes = toxicity._shards(docs, labels, F.lit(True), 1 << 15)
+    packed = shards.collect()
+    assert (n, classes) == (300, 2) and len(packed) == 5
+    assert sum(len(r["y"]) // 8 for r in packed) == 300 and sum(len(r["words"]) // 6 for r in packed) == 14000 + 2 * 300 + 3 * 299
+    model = toxicity.train(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.scored(docs, model).collect()}
+    assert sum(got[i] == (i % 2 == 1) for i in got) >= 297
+    again = toxicity.train(docs.repartition(7), labels, F.lit(True))
+    assert (again.state() == model.state()).all() and again.thresholds == model.thresholds
