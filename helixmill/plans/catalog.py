@@ -524,12 +524,15 @@ def _(spark, d):
 
 @query("run_files", SCORED + " select config_id, " + ", ".join(f"round(avg(case when scored then {n} end), 9) as mean_{n}" for n in SCORES) + " from scored group by config_id")
 def _(spark, d):
-    """Each run's samples as a file, and the mean scores of the files that the summary names."""
+    """Each run's samples as a folder of files, and the mean scores of the folders that the summary names.
+
+    Rebalanced by run, so that a large run is several tasks' and files, and a small one is one.
+    """
     path, s = scratch(spark, "runs"), flagged(spark, d)
     columns = [F.col("generated_sequence"), F.col("payload"), *[F.initcap(F.col(c).cast("string")) for c in ("is_valid", "known")], F.lit("False")]
     rows = s.select("config_id", *[c.alias(n) for c, n in zip(columns, readers.SAMPLE_COLUMNS)])
-    rows.repartition(8, "config_id").write.partitionBy("config_id").option("header", True).csv(path)
-    summary = spark.read.option("header", True).csv(path).select("config_id", F.input_file_name().alias("output_file")).distinct()
+    rows.hint("rebalance", "config_id").write.partitionBy("config_id").option("header", True).csv(path)
+    summary = spark.read.option("header", True).csv(path).select("config_id", F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("output_file")).distinct()
     m = evaluation.attach_runs(summary, readers.read_runs(spark, summary))
     return m.select("config_id", *[r9(f"mean_{n}").alias(f"mean_{n}") for n in SCORES])
 

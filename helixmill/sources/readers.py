@@ -46,32 +46,52 @@ SAMPLE_COLUMNS = ["Generated Sequence", "Extracted Sequence", "Is Valid", "In Tr
 def read_runs(spark: SparkSession, summary: DataFrame, rows_per_batch: int = 10_000) -> DataFrame:
     """The sample files that ``summary.output_file`` names, each row with the name given there; missing files have no rows.
 
-    The names stay a column: tasks open the files of the names they have, so neither the driver nor a query plan
-    holds a list of files. Names are paths of the cluster's default file system, or full addresses.
+    A name may be a folder, whose files are the run's. The names stay a column: tasks list the folders and open the
+    files of the names they have, so neither the driver nor a query plan holds a list of files, and a run's files are
+    several tasks'. Names are paths of the cluster's default file system, or full addresses.
     """
     default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def place(name):
+        from pyarrow import fs
+
+        if name.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + name[5:].lstrip("/")
+        if "://" in name:
+            return fs.FileSystem.from_uri(name)
+        return (fs.LocalFileSystem() if default.startswith("file:") else fs.FileSystem.from_uri(default)[0]), name
+
+    def files(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            pairs = []
+            for name in b["output_file"].to_pylist():
+                system, path = place(name)
+                if system.get_file_info(path).type == fs.FileType.Directory:
+                    found = [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and not f.base_name.startswith(("_", "."))]
+                    pairs += [(name, f"{name.rstrip('/')}/{f.base_name}") for f in found]
+                else:
+                    pairs.append((name, name))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.string()) for k in (0, 1)], names=["output_file", "_file"])
+
     def read(batches):
         import csv
         import io
         import itertools
 
         import pyarrow as pa
-        from pyarrow import fs
 
         def text_of(name):
-            system, path = (fs.LocalFileSystem(), name) if default.startswith("file:") else (fs.FileSystem.from_uri(default)[0], name)
-            if name.startswith("file:"):
-                system, path = fs.LocalFileSystem(), "/" + name[5:].lstrip("/")
-            elif "://" in name:
-                system, path = fs.FileSystem.from_uri(name)
+            system, path = place(name)
             return io.TextIOWrapper(system.open_input_stream(path), encoding="utf-8", errors="replace", newline="")
 
         for b in batches:
-            for name in b["output_file"].to_pylist():
+            for name, file in zip(b["output_file"].to_pylist(), b["_file"].to_pylist()):
                 try:
-                    text = text_of(name)
+                    text = text_of(file)
                 except FileNotFoundError:
                     continue
                 with text:
@@ -82,7 +102,8 @@ def read_runs(spark: SparkSession, summary: DataFrame, rows_per_batch: int = 10_
                         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array([name] * len(some))], names=[*SAMPLE_COLUMNS, "output_file"])
 
     names = summary.select("output_file").where("output_file is not null").distinct().repartition(width, "output_file")
-    return names.mapInArrow(read, ", ".join(f"`{c}` string" for c in SAMPLE_COLUMNS) + ", output_file string")
+    found = names.mapInArrow(files, "output_file string, _file string").repartition(width, "_file")
+    return found.mapInArrow(read, ", ".join(f"`{c}` string" for c in SAMPLE_COLUMNS) + ", output_file string")
 
 
 def read_summary(spark: SparkSession, path: str, run: str = "config_id") -> DataFrame:

@@ -138,3 +138,17 @@ def test_samples_of_a_run_are_replaced(spark, tmp_path):
     writers.write_samples(spark.createDataFrame([(1, "A"), (2, "B"), (2, "C")], "config_id int, s string"), path)
     writers.write_samples(spark.createDataFrame([(2, "D")], "config_id int, s string"), path)
     assert sorted(map(tuple, spark.read.parquet(path).select("config_id", "s").collect())) == [(1, "A"), (2, "D")]
+
+
+def test_a_run_of_several_files(spark, tmp_path):
+    """A name may be a folder of files; what starts with _ or . there isn't the run's."""
+    folder = tmp_path / "run"
+    folder.mkdir()
+    header = ",".join(readers.SAMPLE_COLUMNS)
+    for i in range(3):
+        (folder / f"part-{i}.csv").write_text(f"# head\n{header}\nx{i},ACK,True,False,False\n")
+    (folder / "_SUCCESS").write_text("")
+    (folder / ".part-0.csv.crc").write_text(f"{header}\nno,ACK,True,False,False\n")
+    summary = spark.createDataFrame([(str(folder),), (f"file:{folder}",), (str(tmp_path / "none"),)], "output_file string")
+    got = sorted((r["output_file"], r["Generated Sequence"]) for r in readers.read_runs(spark, summary).collect())
+    assert got == sorted((name, f"x{i}") for name in (str(folder), f"file:{folder}") for i in range(3))
