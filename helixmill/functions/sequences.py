@@ -29,8 +29,13 @@ def strip(s: Column) -> Column:
 
 
 def extract_payload(s: Column) -> Column:
+    """Between the first ``<SOS>`` and the next ``<EOS>`` of its line; where no line has both, the text without white space around it."""
+    start = F.instr(s, "<SOS>")
+    end = F.call_function("locate", F.lit("<EOS>"), s, start + 5)
+    one_line = F.when((start > 0) & (end > 0), F.substring(s, start + 5, end - start - 5)).otherwise(strip(s))
     framed = F.regexp_substr(s, F.lit(r"<SOS>[^\n]*?<EOS>"))
-    return F.when(framed.isNotNull(), F.substring(framed, F.lit(6), F.length(framed) - 10)).otherwise(strip(s))
+    lines = F.when(framed.isNotNull(), F.substring(framed, F.lit(6), F.length(framed) - 10)).otherwise(strip(s))
+    return F.when(F.contains(s, F.lit("\n")), lines).otherwise(one_line)
 
 
 def is_valid(s: Column) -> Column:

@@ -52,7 +52,8 @@ def novel(samples: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def known(samples: DataFrame, training: DataFrame) -> DataFrame:
-    return samples.join(training, "payload", "left_semi")
+    # held, since Spark infers the training set's filter for the samples and would compute the payload again for each part of it
+    return held(samples).join(training, "payload", "left_semi")
 
 
 def flag_repeat(samples: DataFrame, run: str, order: str) -> DataFrame:
