@@ -39,9 +39,9 @@ def flag_known(samples: DataFrame, training: DataFrame, sketch: DataFrame | None
     """
     t = training.select("payload", F.lit(True).alias("_known"))
     if sketch is not None:
-        hit = held(membership.probe(samples.where("is_valid"), "payload", sketch, "_maybe"))
-        out = samples.where("not is_valid").withColumn("known", F.lit(False))
-        out = out.unionByName(hit.where("not _maybe").drop("_maybe").withColumn("known", F.lit(False)))
+        asked = samples.withColumn("_key", F.when(F.col("is_valid"), F.col("payload")))
+        hit = held(membership.probe(asked, "_key", sketch, "_maybe").drop("_key"))
+        out = hit.where("not _maybe").drop("_maybe").withColumn("known", F.lit(False))
         found = hit.where("_maybe").drop("_maybe").join(t, "payload", "left").withColumn("known", F.coalesce("_known", F.lit(False)))
         return out.unionByName(found.select(*out.columns))
     return samples.join(t, "payload", "left").withColumn("known", F.col("is_valid") & F.coalesce("_known", F.lit(False))).drop("_known")
