@@ -656,13 +656,14 @@ blend as (select item_id, pos, token_id, (u + 1.5 * (a - u) + 1.0 * (g - u) + 2.
 soft as (select item_id, pos, token_id, exp(score - max(score) over w) / sum(exp(score - mx)) over w as p from (select *, max(score) over (partition by item_id, pos) as mx from blend where token_id <> 4) x window w as (partition by item_id, pos))"""
 
 
-def _blend(spark, d, by_position=True):
-    return scores.blend_scores(view(spark, d, "scores"), {1: 1.5, 2: 1.0, 3: 2.0}, 1.25, by_position)
+def _blend(spark, d):
+    return scores.blend_scores(view(spark, d, "scores"), {1: 1.5, 2: 1.0, 3: 2.0}, 1.25, True)
 
 
 @query("blend_scores", BLEND + " select item_id, pos, token_id, round(score, 6) as score from blend")
 def _(spark, d):
-    return _blend(spark, d, False).select("item_id", "pos", "token_id", r6("score").alias("score"))
+    # by position, so that no task before the shuffle aggregates all that it reads
+    return _blend(spark, d).select("item_id", "pos", "token_id", r6("score").alias("score"))
 
 
 @query("softmax_scores", BLEND + " select item_id, pos, token_id, round(p, 6) as p from soft")
