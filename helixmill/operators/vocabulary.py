@@ -70,7 +70,8 @@ def decode_ids(df: DataFrame, vocab: DataFrame, length_col: str | None = None) -
 
 def decode_argmax(scores: DataFrame, vocab: DataFrame) -> DataFrame:
     """(item_id, decoded): best token a position, ties to the lowest id, in order."""
-    best = scores.groupBy("item_id", "pos").agg(F.max_by("token_id", F.struct("score", -F.col("token_id"))).alias("token_id"))
+    # dealt out by item first: one shuffle serves both aggregations, and no task before it sorts all that it reads
+    best = scores.repartition("item_id").groupBy("item_id", "pos").agg(F.max_by("token_id", F.struct("score", -F.col("token_id"))).alias("token_id"))
     named = best.join(F.broadcast(vocab), "token_id")
     ordered = named.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     return ordered.select("item_id", F.array_join("t.token", "").alias("decoded"))
