@@ -45,14 +45,14 @@ def hash_rank(df: DataFrame, seed, id_col: str, within: str | None = None, range
     keys = [within, id_col] if within else [id_col]
     group = [within] if within else []
     path = scratch(df.sparkSession, "hashed")
-    hashed = df.withColumn("_h", digest(seed, *keys))
+    hashed = df.withColumn("_h", F.unhex(digest(seed, *keys)))  # 16 bytes, in the order of their hex digits
     hashed.write.parquet(path)
     d = df.sparkSession.read.schema(hashed.schema).parquet(path)
     rows, digits = d.count(), 1
     while 16**digits * range_rows < rows and digits < 8:
         digits += 1
     coarse = min(3, digits)
-    d = d.withColumn("_b", F.substring("_h", 1, digits))
+    d = d.withColumn("_b", F.lower(F.substring(F.hex(F.substring("_h", 1, 4)), 1, digits)))
     counts = d.groupBy(*group, "_b").agg(F.count("*").alias("_n")).withColumn("_c", F.substring("_b", 1, coarse))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     fine = counts.withColumn("_within", F.coalesce(F.sum("_n").over(before(*group, "_c").orderBy("_b")), F.lit(0)))
