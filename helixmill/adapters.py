@@ -4,8 +4,15 @@ Sequences are the residue letters of a whole text, cut into consecutive pieces (
 a text without residue letters. ``[p]`` stands for them. Keys are the text's id times 2^24 plus the piece's number.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StringType
 
+from helixmill.functions.arrays import spread, text_bytes
+
+LETTERS = "ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy"
+SLICE = 1 << 20  # bytes of text that are cut at a time
 # view: table, columns kept, letters a piece
 PIECES = {
     "samples": ("documents", "doc_id", "case when doc_id % 9 = 0 then 4 else 12 + length(text) % 25 end"),
@@ -77,11 +84,40 @@ from (select e.event_id as item_id, cast(p.r_regionkey as int) as pass, cast(t.n
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def _pieces(name: str, every: str, generate: str) -> str:
-    """The view's pieces; ``every`` makes a replacement global, ``generate`` turns the array ``a`` into ``n`` and ``pep``."""
+def _cut(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
+    """The view's pieces: its columns, ``n`` and ``pep``. Texts are cut a batch at a time, none of them letter by letter."""
+    _, keys, width = PIECES[name]
+    rows = spark.sql(f"select * from (select {keys}, cast({width} as int) as w, text from {{d}}) t where w > 0 and text is not null", d=source)
+    keys, kinds = rows.columns[:-2], rows.select(*rows.columns[:-2]).schema
+    is_letter = np.isin(np.arange(256), np.frombuffer(LETTERS.encode(), np.uint8))
+    names, most = [*keys, "n", "pep"], SLICE
+
+    def run(batches):
+        for b in batches:
+            data, bounds = text_bytes(b.column("text"))
+            width = b.column("w").to_numpy(zero_copy_only=False)
+            low = 0
+            while low < b.num_rows:
+                high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + most, side="right")) - 1)
+                part = data[bounds[low] : bounds[high]]
+                letter = is_letter[part]
+                size = np.diff(np.concatenate([[0], np.cumsum(letter)])[bounds[low : high + 1] - bounds[low]])
+                row, n = spread(-(-size // width[low:high]))
+                first = (np.cumsum(size) - size)[row] + n * width[low:high][row]
+                ends = pa.py_buffer(np.append(first, size.sum()).astype(np.int32))
+                pep = pa.StringArray.from_buffers(len(row), ends, pa.py_buffer(part[letter]))
+                of = pa.array(low + row)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(of) for k in keys], pa.array(n.astype(np.int32)), pep], names=names)
+                low = high
+
+    return rows.mapInArrow(run, kinds.add("n", IntegerType()).add("pep", StringType()))
+
+
+def _pieces(name: str) -> str:
+    """The view's pieces for DuckDB: columns, ``n`` and ``pep``."""
     table, keys, width = PIECES[name]
-    letters = f"regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacfhiklnpqrstvwy]', ''{every})"
-    return f"(select {keys}, {generate} from (select {keys}, regexp_extract_all({letters}, concat('.{{{{1,', {width}, '}}}}'), 0) as a from {{{table}}}) t)"
+    letters = f"regexp_replace(text, '[^{LETTERS}]', '', 'g')"
+    return f"(select {keys}, generate_subscripts(a, 1) - 1 as n, unnest(a) as pep from (select {keys}, regexp_extract_all({letters}, concat('.{{{{1,', {width}, '}}}}'), 0) as a from {{{table}}}) t)"
 
 
 def _table(spark: SparkSession, path: str, spread: bool) -> DataFrame:
@@ -98,13 +134,15 @@ def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> Dat
 
     A long text is cut in one pass, and only its id travels with the pieces.
     """
-    # the outer form, since Spark infers filters from the inner one and computes the array again in each of them
-    sql = VIEWS[name].replace("[p]", "(select * from " + _pieces(name, "", "posexplode_outer(a) as (n, pep)") + " o where n is not null)" if name in PIECES else "")
-    return spark.sql(sql, **given, **{t: _table(spark, f"{sf_dir}/{t}.parquet", name in PIECES) for t in TABLES if "{" + t + "}" in sql and t not in given})
+    sql = VIEWS[name]
+    if name in PIECES:
+        table = PIECES[name][0]
+        docs = given[table] if table in given else _table(spark, f"{sf_dir}/{table}.parquet", True)
+        return spark.sql(sql.replace("[p]", "{pieces}"), pieces=_cut(spark, name, docs))
+    return spark.sql(sql, **given, **{t: _table(spark, f"{sf_dir}/{t}.parquet", False) for t in TABLES if "{" + t + "}" in sql and t not in given})
 
 
 def oracle(*names: str) -> str:
     """The views as common table expressions for DuckDB."""
-    cut = "generate_subscripts(a, 1) - 1 as n, unnest(a) as pep"
-    each = {n: VIEWS[n].replace("[p]", _pieces(n, ", 'g'", cut) if n in PIECES else "").format(**{t: t for t in TABLES}) for n in names}
+    each = {n: VIEWS[n].replace("[p]", _pieces(n) if n in PIECES else "").format(**{t: t for t in TABLES}) for n in names}
     return "with " + ",\n".join(f"{n} as ({sql})" for n, sql in each.items())
