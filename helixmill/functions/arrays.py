@@ -33,3 +33,39 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if some.any():
         out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
     return out
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every token of ``sequences.tokenize``: ``<...>`` up to the next ``>``, or a character beside these."""
+    opened, closed = data == 60, data == 62
+    before = np.cumsum(opened) - opened  # how many open before each byte
+    base, starts = np.zeros(len(data), np.int64), offsets[:-1][offsets[:-1] < len(data)]
+    after = np.flatnonzero(closed[:-1]) + 1
+    base[starts], base[after] = before[starts], before[after]
+    inside = before > np.maximum.accumulate(base)  # since the row's start or the last ``>``
+    close = np.append(np.flatnonzero(closed), len(data))
+    first = ~inside & ~closed & ((data & 0xC0) != 0x80)
+    start = np.flatnonzero(first)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    lead = data[start]
+    size = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    end = np.where(lead == 60, close[np.searchsorted(close, start)] + 1, start + size)
+    whole = end <= offsets[row + 1]
+    return start[whole], end[whole], row[whole]
+
+
+def token_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """A number for each token (an ASCII character's is its code), and the texts of all numbers from 128 on."""
+    size = end - start
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    kept = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    code = np.zeros(len(start), np.int64)
+    code[size == 1] = data[start[size == 1]]
+    few, long = np.flatnonzero((size > 1) & (size <= 8)), np.flatnonzero(size > 8)
+    words, at = np.unique(np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))[start[few]] & kept[size[few]], return_inverse=True)
+    code[few] = 128 + at
+    texts = [int(w).to_bytes(8, "little").rstrip(b"\0").decode() for w in words]
+    seen, raw = {}, data.tobytes() if len(long) else b""
+    for i in long.tolist():
+        code[i] = 128 + seen.setdefault(raw[start[i] : end[i]], len(texts) + len(seen))
+    return code, texts + [t.decode() for t in seen]

@@ -1,22 +1,30 @@
 """Vocabularies, encoding and decoding."""
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.constants import MAX_LENGTH, SPECIAL_TOKENS
+from helixmill.functions.arrays import text_bytes, token_codes, token_spans
 from helixmill.functions.barrier import held
-from helixmill.functions.sequences import tokenize
 
 
 def build_vocab(df: DataFrame, col: str) -> DataFrame:
     """(token, token_id): <blank> is 0, tokens follow in code-point order, <MASK> is last."""
     blank, mask = SPECIAL_TOKENS
-    tokens = df.select(F.explode(tokenize(F.col(col))).alias("token")).where(~F.col("token").isin(*SPECIAL_TOKENS)).distinct()
-    # the alphabet: its size doesn't grow with the rows
-    ranked = tokens.select("token", F.row_number().over(Window.orderBy("token")).alias("token_id"))
-    n = tokens.agg(F.count("*").alias("n"))
-    ends = n.select(F.explode(F.array(F.struct(F.lit(blank).alias("token"), F.lit(0).alias("token_id")), F.struct(F.lit(mask).alias("token"), (F.col("n") + 1).cast("int").alias("token_id")))).alias("e"))
-    return ranked.unionByName(ends.select("e.*"))
+
+    def distinct(batches):
+        for b in batches:
+            data, offsets = text_bytes(b.column(0))
+            code, texts = token_codes(data, *token_spans(data, offsets)[:2])
+            yield pa.RecordBatch.from_arrays([pa.array([*map(chr, np.unique(code[code < 128]).tolist()), *texts], pa.string())], names=["token"])
+
+    tokens = df.select(F.col(col).cast("string")).mapInArrow(distinct, "token string").where(~F.col("token").isin(*SPECIAL_TOKENS)).distinct()
+    # the alphabet: its size doesn't grow with the rows. In one row, so that the texts aren't gone over again to count it
+    alphabet = tokens.agg(F.array_sort(F.collect_set("token")).alias("all"))
+    both_ends = F.concat(F.array(F.lit(blank)), "all", F.array(F.lit(mask)))
+    return alphabet.select(F.posexplode(both_ends).alias("token_id", "token")).select("token", "token_id")
 
 
 def resolve_vocab(fresh: DataFrame, saved: DataFrame) -> DataFrame:
@@ -39,22 +47,36 @@ def _broadcast(vocab: DataFrame, *columns) -> DataFrame:
 def encode(df: DataFrame, vocab: DataFrame, col: str, max_length: int = MAX_LENGTH, on_error: str = "raise") -> DataFrame:
     """Adds ``ids``, padded with 0. Unknown tokens and long texts raise, or with 'reject' give NULL ids.
 
-    A token of one ASCII sign is looked up by its code, others by search among those that aren't.
+    The vocabulary is read when this is called, and goes to the tasks with the function that looks tokens up.
     """
-    plain = (F.length("token") == 1) & (F.ascii("token") < 128)
-    known = _broadcast(
-        vocab,
-        F.map_from_entries(F.collect_list(F.when(plain, F.struct(F.ascii("token"), "token_id")))).alias("_by_code"),
-        F.map_from_entries(F.collect_list(F.when(~plain, F.struct("token", "token_id")))).alias("_other"),
-    )
-    known = F.broadcast(known.withColumn("_by_code", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda c: F.try_element_at("_by_code", c))))
-    d = held(df.withColumn("_t", tokenize(F.col(col)))).crossJoin(known)
-    one = lambda x: F.when((F.length(x) == 1) & (F.ascii(x) < 128), F.get("_by_code", F.ascii(x))).otherwise(F.try_element_at("_other", x))
-    d = held(d.withColumn("_ids", F.transform("_t", one)).drop("_by_code", "_other"))
-    good = (F.size("_t") <= max_length) & F.forall("_ids", lambda x: x.isNotNull())
-    padded = F.concat("_ids", F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - F.size("_t"), F.lit(0))))
-    bad = F.raise_error(F.concat(F.lit("unknown token or too long: "), F.col(col))).cast("array<int>") if on_error == "raise" else F.lit(None).cast("array<int>")
-    return held(d.withColumn("ids", F.when(good, padded).otherwise(bad)).drop("_t", "_ids"))
+    rows = vocab.select("token", F.col("token_id").cast("int")).limit(LARGEST + 1).collect()
+    if len(rows) > LARGEST:
+        raise ValueError(f"a vocabulary of more than {LARGEST} tokens can't be broadcast")
+    known = {token: i for token, i in rows if i is not None}
+    if len({token for token, _ in rows}) < len(rows):
+        raise ValueError("a token has several ids")
+
+    @F.arrow_udf("array<int>")
+    def run(column: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(column)
+        start, end, row = token_spans(data, offsets)
+        code, texts = token_codes(data, start, end)
+        # an unknown token's id may be any number, so it is marked beside
+        ids = [known.get(t) for t in (*map(chr, range(128)), *texts)]
+        found, ids = np.array([i is not None for i in ids]), np.array([i or 0 for i in ids], np.int32)
+        size = np.bincount(row, minlength=len(column))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        bad = (size > max_length) | (np.bincount(row[~found[code]], minlength=len(column)) > 0) | column.is_null().to_numpy(zero_copy_only=False)
+        out, fits = np.zeros((len(column), max_length), np.int32), at < max_length
+        out[row[fits], at[fits]] = ids[code[fits]]
+        ends = pa.array(np.arange(len(column) + 1, dtype=np.int32) * max_length)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()), mask=pa.array(bad) if bad.any() else None)
+
+    d = held(df.withColumn("ids", run(F.col(col).cast("string"))))
+    if on_error != "raise":
+        return d
+    bad = F.raise_error(F.concat(F.lit("unknown token or too long: "), F.col(col))).cast("array<int>")
+    return held(d.withColumn("ids", F.coalesce("ids", bad)))
 
 
 def one_hot_long(df: DataFrame, key: str) -> DataFrame:
