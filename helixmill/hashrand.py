@@ -21,6 +21,16 @@ def draws(prefix: Column, n: Column) -> Column:
     return F.when(n > 0, blocks).otherwise(F.array().cast("array<string>"))
 
 
+UNROLLED = 17  # digests that are compiled expressions: what a text of MAX_LENGTH tokens needs
+
+
+def draw_text(prefix: Column, n: Column) -> Column:
+    """``draws`` end to end, as one text of eight hex digits a draw. A lambda runs only for draws that ``UNROLLED`` digests don't hold."""
+    block = lambda b: F.md5(F.concat(prefix, b).cast("binary"))
+    more = F.transform(F.sequence(F.lit(UNROLLED), F.floor((n - 1) / 4).cast("int")), lambda b: block(b.cast("string")))
+    return F.concat_ws("", *[F.when(n > 4 * b, block(F.lit(str(b)))) for b in range(UNROLLED)], F.when(n > 4 * UNROLLED, F.array_join(more, "")))
+
+
 def draw_below(digests: Column, i: Column, bar: Column) -> Column:
     """Whether draw ``i`` of ``draws`` lies below a chance, given as ``bar_of`` that chance. Fixed-width hex digits order as numbers do."""
     return F.substring(F.get(digests, F.floor(i / 4).cast("int")), (i % 4) * 8 + 1, F.lit(8)) < bar

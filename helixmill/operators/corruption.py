@@ -1,25 +1,53 @@
 """Token corruption for masked training."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.functions.arrays import spread, text_bytes
 from helixmill.functions.barrier import held
-from helixmill.hashrand import bar_of, draw_below, draws, uniform
+from helixmill.hashrand import draw_text, uniform
 from helixmill.operators.order_statistics import ranked
 
 EPS = 1e-3
 
 
-def _mask(df: DataFrame, chance: Column, mask_id: int, pad_id: int | None, seed, id_col: str) -> DataFrame:
-    """Position i is masked if its draw is below ``chance``. A digest serves four positions; pads cost none."""
-    last = F.size("ids") if pad_id is None else F.coalesce(F.array_max(F.transform("ids", lambda x, i: F.when(x != pad_id, i + 1).otherwise(0))), F.lit(0))
-    d = held(df.withColumns({"_bar": bar_of(chance), "_draws": draws(F.concat(F.lit(f"{seed}:pos:"), F.col(id_col).cast("string"), F.lit(":")), last)}))
+def _masked(ids: Column, draws: Column, least: Column, mask_id: int, pad_id: int | None) -> Column:
+    """``ids`` with ``mask_id`` where the position's draw (``draw_text``) is below ``least``, a batch of rows at a time."""
+
+    @F.arrow_udf("array<int>")
+    def run(ids: pa.Array, draws: pa.Array, least: pa.Array) -> pa.Array:
+        size = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        row, i = spread(size)
+        digits, offsets = text_bytes(draws)
+        draw = np.frombuffer(bytes.fromhex(digits.tobytes().decode()), ">u4")
+        at, has = offsets[:-1][row] // 8 + i, i < (np.diff(offsets) // 8)[row]
+        hit = has.copy()
+        hit[has] = draw[at[has]] < least.fill_null(0).to_numpy(zero_copy_only=False)[row[has]]
+        flat = ids.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        value = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        if pad_id is not None:
+            hit &= known & (value != pad_id)
+        values = pa.array(np.where(hit, mask_id, value).astype(np.int32), mask=None if known.all() else ~(known | hit))
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=ids.is_null() if ids.null_count else None)
 
-    def one(x, i):
-        hit = draw_below(F.col("_draws"), i, F.col("_bar"))
-        return F.when(hit if pad_id is None else (x != pad_id) & hit, F.lit(mask_id)).otherwise(x)
+    return run(ids, draws, least)
 
-    d = held(d.withColumn("masked", F.transform("ids", one)).drop("_bar", "_draws"))
+
+def _mask(df: DataFrame, chance: Column, mask_id: int, pad_id: int | None, seed, id_col: str) -> DataFrame:
+    """Position i is masked if its draw is below ``chance``. A digest serves four positions; pads at the end cost none."""
+    last = F.size("ids")
+    if pad_id is not None:  # where all pads stand at the end
+        tokens = F.size(F.array_remove("ids", pad_id))
+        last = F.when(F.array_position("ids", pad_id) == tokens + 1, tokens).otherwise(last)
+    d = held(df.withColumn("_last", last))
+    prefix = F.concat(F.lit(f"{seed}:pos:"), F.col(id_col).cast("string"), F.lit(":"))
+    d = held(d.withColumns({"_prefix": prefix, "_least": F.ceil(chance * 4294967296.0)}))
+    d = d.withColumn("masked", _masked(F.col("ids"), draw_text(F.col("_prefix"), F.col("_last")), F.col("_least"), mask_id, pad_id))
+    d = held(d.drop("_last", "_prefix", "_least"))
     return d.withColumn("is_masked", F.transform("masked", lambda x: x == mask_id))
 
 
