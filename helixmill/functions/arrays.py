@@ -26,15 +26,6 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of each row's ``counts`` values; 0 for none."""
-    out = np.zeros(len(counts))
-    some = counts > 0
-    if some.any():
-        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
-    return out
-
-
 def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every token of ``sequences.tokenize``: ``<...>`` up to the next ``>``, or a character beside these."""
     opened, closed = data == 60, data == 62

@@ -2,13 +2,10 @@
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from helixmill import constants as K
-from helixmill.functions.arrays import spread, sums, text_bytes
 from helixmill.functions.sequences import residues
 
 
@@ -97,43 +94,3 @@ def charge_at_ph(s: Column, ph: float = 7.0) -> Column:
 def diversity(s: Column) -> Column:
     """Distinct residues less a tenth of the number of K, R and L."""
     return F.size(F.array_distinct(residues(s))) - 0.1 * (count_of(s, "K") + count_of(s, "R") + count_of(s, "L"))
-
-
-def five_scores(s: Column) -> Column:
-    """(charge_score, alpha_score, beta_score, boman_index, gravy_score) of a text, as the functions above have them.
-
-    A batch of texts at a time: a moment by native array functions evaluates some hundred lambdas a text.
-    """
-    kinds = ", ".join(f"{n} double" for n in ("charge_score", "alpha_score", "beta_score", "boman_index", "gravy_score"))
-    by_code = np.array([K.EISENBERG.get(chr(code), 0.0) for code in range(128)] + [0.0] * 128)
-    scales = K.BOMAN, K.KYTE_DOOLITTLE
-
-    @F.arrow_udf(f"struct<{kinds.replace(' double', ': double')}>")
-    def run(texts: pa.Array) -> pa.Array:
-        data, offsets = text_bytes(texts)
-        sign = (data & 0xC0) != 0x80  # a character's first byte
-        before = np.concatenate([[0], np.cumsum(sign)])
-        size, data = np.diff(before[offsets]), data[sign]
-        row, i = spread(size)
-        some, n = size > 0, np.maximum(size, 1)
-        letter = np.where((data >= 65) & (data <= 90), data - 64, 0)
-        count = np.bincount(row * 27 + letter, minlength=27 * len(size)).reshape(len(size), 27)
-        of = lambda c: count[:, ord(c) - 64]
-
-        def moment(angle):
-            turn = math.radians(angle) * np.arange(1, int(size.max(initial=0)) + 1)
-            h = by_code[data]
-            x, y = sums(h * np.cos(turn)[i], size), sums(h * np.sin(turn)[i], size)
-            return np.sqrt(x**2 + y**2) / n
-
-        def mean(values):
-            total = np.zeros(len(size))
-            for residue, v in values.items():
-                total += of(residue) * v
-            return total / n
-
-        charge = of("K") + of("R") - of("D") - of("E")
-        scores = [np.exp(-((charge - 4.5) ** 2) / 8.0), moment(100), np.where(of("C") < 2, 0.0, moment(160)), *map(mean, scales)]
-        return pa.StructArray.from_arrays([pa.array(np.where(some, x, 0.0)) for x in scores], [k.split()[0] for k in kinds.split(", ")])
-
-    return run(s)

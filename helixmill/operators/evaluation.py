@@ -120,9 +120,15 @@ def summary_row(rates: DataFrame, settings: DataFrame, run: str = "config_id", o
 def score_samples(d: DataFrame) -> DataFrame:
     """Five scores of valid and novel rows, 0 for the others. Rows may be samples or distinct payloads."""
     mask = F.col("is_valid") & ~F.col("known")
-    d = held(d.withColumn("_s", P.five_scores(F.when(mask, F.upper("payload")))))
-    scores = {n: F.when(mask, F.col(f"_s.{n}")).otherwise(0.0) for n in ("charge_score", "alpha_score", "beta_score", "boman_index", "gravy_score")}
-    return held(d.withColumn("scored", mask).withColumns(scores).drop("_s"))
+    d = held(d.withColumn("_s", F.when(mask, F.upper("payload"))))
+    s = F.col("_s")
+    d = held(d.withColumn("_h", P.hydrophobicity(s)))
+    h = F.col("_h")
+    scores = {
+        "charge_score": P.charge_score(s), "alpha_score": P.moment_of(h, 100), "beta_score": F.when(P.few_cysteines(s), 0.0).otherwise(P.moment_of(h, 160)),
+        "boman_index": P.boman(s), "gravy_score": P.gravy(s),
+    }
+    return held(d.withColumn("scored", mask).withColumns({k: F.when(mask, v).otherwise(0.0) for k, v in scores.items()}).drop("_s", "_h"))
 
 
 def _means(weight: Column | None = None) -> list[Column]:
