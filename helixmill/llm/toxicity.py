@@ -32,6 +32,8 @@ from helixmill.llm.labelled import held_out, labelled, score_batches
 U64 = np.uint64
 WIDTHS = (1, 2, 3)
 SHARD_ROWS, SHARD_BYTES, PIECES, BATCH_WORDS = 4000, 1 << 24, 64, 1 << 17
+#: bytes of text that are looked at at a time; some 40 bytes of temporaries come to one
+SLICE = 1 << 19
 #: logits count for calibration in steps of 1/256, up to this
 LOGIT = 64
 # fixed values: frequent function words by language
@@ -256,7 +258,7 @@ def _shards(docs: DataFrame, labels: DataFrame, learn_from, buckets: int) -> tup
         for b in batches:
             data, offsets = C.text_bytes(b.column("text"))
             words, language = [], [np.zeros(0, np.int64)]
-            for i, j in C.slices(offsets):
+            for i, j in C.slices(offsets, SLICE):
                 row, whole, k = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
                 begin = np.searchsorted(row, np.arange(j - i + 1))
                 words += [k[x:z].astype(np.uint16).tobytes() for x, z in zip(begin, begin[1:])]
@@ -370,7 +372,7 @@ def below(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
     def run(batches):
         for b in batches:
             data, offsets = C.text_bytes(b.column(1))
-            out = [shared.value.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], threshold) for i, j in C.slices(offsets)]
+            out = [shared.value.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], threshold) for i, j in C.slices(offsets, SLICE)]
             keep = np.concatenate(out) < threshold if out else np.zeros(0, bool)
             yield b.select([0]).filter(pa.array(keep))
 
